@@ -1,11 +1,13 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL for DuckDB."""
 
-from quern.llm import contamination, language, mixing
+from quern.llm import contamination, jaccard, language, mixing, sharding
 
 _MODULES = {
     "op1_language_id": language,
     "op3_source_mixing": mixing,
+    "op6_ngram_jaccard_join": jaccard,
     "op8_benchmark_decontamination": contamination,
+    "op10_flow_sharding": sharding,
 }
 
 QUERIES = {name: m.query for name, m in _MODULES.items()}
