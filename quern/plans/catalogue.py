@@ -1,4 +1,483 @@
-"""Queries over the supplied tables, each with its SQL for DuckDB."""
+"""Queries over generated tasks and the supplied tables, each with its SQL for DuckDB where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import safe, text
+from quern.operators import overlap, posts, preferences, rubric, selection, splits, stats, synth
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+N = 240
+TASKS = synth.sql(N)
+SCORES = rubric.sql(TASKS)
+EVENTS = {"funding_closed_at": "closed_at", "layoff_date": "layoff_date", "leadership_started_at": "started_at"}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _scores(spark: SparkSession) -> DataFrame:
+    return rubric.score_flat(synth.flat_tasks(spark, N))
+
+
+# Generated tasks and the rubric
+
+
+@query(f"select task_id, idx, source_mode, difficulty, company, domain, segment, stack, company_size, headcount, outreach_type, weak, roles_today, roles_60, velocity, segment_conf, generated_at, closed_at, layoff_date, started_at, bench_state, pricing_request, generator, tag, subject, body from ({TASKS})")
+def synth_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return synth.flat_tasks(spark, N).select("task_id", "idx", "source_mode", "difficulty", "company", "domain", "segment", "stack", "company_size", "headcount", "outreach_type", "weak", "roles_today", "roles_60", "velocity", "segment_conf", "generated_at", "closed_at", "layoff_date", "started_at", "bench_state", "pricing_request", "generator", "tag", "subject", "body")
+
+
+@query("select task_id, source_mode, " + ", ".join(f"p_{m}, array_to_string(i_{m}, ';') as i_{m}" for m in rubric.MARKERS) + f", array_to_string(hard, ';') as hard, pct, pass from ({SCORES})")
+def rubric_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = _scores(spark)
+    return s.select("task_id", "source_mode", *(F.col(f"marker_scores.{m}").alias(f"p_{m}") for m in rubric.MARKERS), *(F.array_join(f"marker_issues.{m}", ";").alias(f"i_{m}") for m in rubric.MARKERS), F.array_join("hard_policy_violations", ";").alias("hard"), F.col("aggregate_score_pct").alias("pct"), "pass")
+
+
+@query(f"select source_mode, count(*) as n, round(avg(pct), 6) as mean_score, round(quantile_cont(pct, 0.5), 6) as median_score, round(avg(pass::int), 6) as pass_rate from ({SCORES}) group by source_mode")
+def rubric_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    s = _scores(spark).groupBy("source_mode")
+    return s.agg(F.count("*").alias("n"), F.round(F.avg("aggregate_score_pct"), 6).alias("mean_score"), F.round(F.percentile("aggregate_score_pct", F.lit(0.5)), 6).alias("median_score"), F.round(F.avg(F.col("pass").cast("int")), 6).alias("pass_rate"))
+
+
+@query(f"select split_part(i, ':', 1) as issue, count(*) as n from (select unnest(i_direct || i_grounded || i_honest || i_professional || i_non_condescending) as i from ({SCORES})) group by 1")
+def rubric_issue_counts(spark: SparkSession, d: str) -> DataFrame:
+    issues = F.flatten(F.array(*(F.col(f"marker_issues.{m}") for m in rubric.MARKERS)))
+    return _scores(spark).select(F.explode(issues).alias("i")).groupBy(F.split_part("i", F.lit(":"), F.lit(1)).alias("issue")).agg(F.count("*").alias("n"))
+
+
+@query(f"select task_id, unnest(hard) as violation from ({SCORES})")
+def hard_violations(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark).select("task_id", F.explode("hard_policy_violations").alias("violation"))
+
+
+_CAP = rubric.CAPACITY.replace("(?:senior\\s+|mid\\s+|junior\\s+)?", "")
+
+
+@query(f"select task_id, m[1]::int as promised, m[2] as stack, available from (select task_id, available, unnest(list_zip(regexp_extract_all(lower(body), '{_CAP}', 1), regexp_extract_all(lower(body), '{_CAP}', 2))) as m from ({TASKS})) where m[1]::int > available")
+def capacity_check(spark: SparkSession, d: str) -> DataFrame:
+    t = synth.flat_tasks(spark, N)
+    b = text.normalize(F.col("body"))
+    said = F.arrays_zip(F.regexp_extract_all(b, F.lit(rubric.CAPACITY), F.lit(1)).alias("n"), F.regexp_extract_all(b, F.lit(rubric.CAPACITY), F.lit(2)).alias("s"))
+    return t.select("task_id", "available", F.explode(said).alias("m")).select("task_id", safe.safe_int(F.col("m.n")).alias("promised"), F.col("m.s").alias("stack"), "available").where("promised > available")
+
+
+# Text of the supplied tables
+
+_WORDS = "len(list_filter(regexp_extract_all(text, '[\\pL\\pN_''-]+'), lambda w: regexp_matches(w, '[\\pL\\pN_]')))"
+
+
+@query(f"select lang, count(*) as n, sum({_WORDS})::bigint as n_words, sum(greatest(1, floor(len(regexp_extract_all(text, '\\S+')) * 1.3)))::bigint as token_estimate from documents group by lang")
+def word_count_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(text.word_count(t)).cast("bigint").alias("n_words"), F.sum(text.token_estimate(t)).alias("token_estimate"))
+
+
+_ASK_WORDS = ("book", "schedule", "the", "que", "der")
+
+
+@query("select conv_id, turn, (contains(text, '?')::int + " + " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in _ASK_WORDS) + ")::int as asks from conversations")
+def ask_count(spark: SparkSession, d: str) -> DataFrame:
+    """The counting rule of the rubric's asks, with words that these texts hold."""
+    n = text.normalize(F.col("text"))
+    c = F.contains("text", F.lit("?")).cast("int")
+    for w in _ASK_WORDS:
+        c = c + F.regexp_count(n, F.lit(w))
+    return read(spark, d, "conversations").select("conv_id", "turn", c.cast("int").alias("asks"))
+
+
+@query("with p as (select distinct array_to_string(regexp_extract_all(lower(text), '\\S+')[1:3], ' ') as phrase from benchmark) select doc_id, phrase from documents, p where contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), phrase)")
+def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by phrases of a lexicon that is a table: the first three words of each benchmark item."""
+    phrases = read(spark, d, "benchmark").select(F.array_join(F.slice(text.words(F.lower("text")), 1, 3), " ").alias("phrase")).distinct()
+    docs = read(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
+    return docs.join(phrases, F.contains("t", F.col("phrase"))).select("doc_id", "phrase")
+
+
+_SENT = "list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: s <> '')"
+
+
+@query(f"select conv_id, turn, len({_SENT})::int as n_sentences, ({_SENT})[1] as first_sentence from conversations")
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    s = text.sentences(F.col("text"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.size(s).alias("n_sentences"), F.try_element_at(s, F.lit(1)).alias("first_sentence"))
+
+
+@query("select conv_id, turn, case when len(w) <= 20 then text else regexp_replace(array_to_string(w[1:20], ' '), '[ ,;:-]+$', '') || '.' end as trimmed from (select *, regexp_extract_all(text, '\\S+') as w from conversations)")
+def trim_words(spark: SparkSession, d: str) -> DataFrame:
+    w = text.words(F.col("text"))
+    cut = F.concat(F.regexp_replace(F.array_join(F.slice(w, 1, 20), " "), "[ ,;:-]+$", ""), F.lit("."))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.when(F.size(w) <= 20, F.col("text")).otherwise(cut).alias("trimmed"))
+
+
+@query(f"select task_id, subject, case when asks then body else body || ' {posts.DEFAULT_ASK}' end as body from (select task_id, case when starts_with(lower(subject), 'request:') then subject when length(subject) + 9 > 60 then 'Request: {posts.DEFAULT_SUBJECT}' else 'Request: ' || subject end as subject, body, regexp_matches(lower(body), '[?]|" + "|".join(posts.ASK_MARKS) + f"') as asks from ({TASKS})) ")
+def postprocess_outputs(spark: SparkSession, d: str) -> DataFrame:
+    t = synth.flat_tasks(spark, N)
+    required = F.array(F.regexp_replace("stage", "_", " "), F.col("roles_today").cast("string"))
+    grounded = F.array_append(required, F.lit("e"))  # a phrase that every body holds
+    out = posts.postprocess(F.col("subject"), F.col("body"), F.col("outreach_type"), grounded, F.col("stage"), F.col("roles_today"), F.lit(""))
+    return t.select("task_id", out.alias("o")).select("task_id", "o.subject", "o.body")
+
+
+@query("select event_id, (props->>'$.k')::bigint as k, user_id from events")
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), "user_id")
+
+
+# Contamination
+
+_NG = "select {key} as {out}, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' ')))) as g from (select {key}, regexp_extract_all(lower(text), '\\S+') as w from {t}) where len(w) >= 8"
+_OV = f"select doc_id, item_id, count(*) as shared from ({_NG.format(key='doc_id', out='doc_id', t='documents')}) join ({_NG.format(key='item_id', out='item_id', t='benchmark')}) using (g) group by doc_id, item_id"
+
+
+def _overlap(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.ngram_overlap(read(spark, d, "documents"), read(spark, d, "benchmark"), 8, "doc_id", "item_id")
+
+
+@query(_OV)
+def ngram_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap(spark, d)
+
+
+@query(f"select count(distinct doc_id) as docs, count(*) as pairs, max(shared) as max_shared from ({_OV})")
+def ngram_contaminated_docs(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap(spark, d).agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("pairs"), F.max("shared").alias("max_shared"))
+
+
+@query(f"select doc_id, item_id, shared from ({_OV}) order by shared desc, doc_id, item_id limit 10")
+def max_overlap_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap(spark, d).orderBy(F.desc("shared"), "doc_id", "item_id").limit(10)
+
+
+_TF = "select {key}, tok, count(*)::double as tf from (select {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from {t}) group by {key}, tok"
+
+
+@query(f"with a as ({_TF.format(key='doc_id', t='documents')}), b as ({_TF.format(key='item_id', t='benchmark')}), na as (select doc_id, sqrt(sum(tf * tf)) as n from a group by doc_id), nb as (select item_id, sqrt(sum(tf * tf)) as n from b group by item_id), c as (select doc_id, item_id, sum(a.tf * b.tf) as dot from a join b using (tok) group by doc_id, item_id) select item_id, max(round(dot / (na.n * nb.n), 4)) as max_cosine, count(*) filter (where dot / (na.n * nb.n) >= 0.85) as flagged from c join na using (doc_id) join nb using (item_id) group by item_id")
+def tf_cosine_by_item(spark: SparkSession, d: str) -> DataFrame:
+    """Greatest term-frequency cosine of each benchmark item over all documents."""
+    c = overlap.sparse_cosine(overlap.term_vectors(read(spark, d, "documents"), "doc_id"), overlap.term_vectors(read(spark, d, "benchmark"), "item_id"), "doc_id", "item_id")
+    return c.groupBy("item_id").agg(F.max(F.round("cosine", 4)).alias("max_cosine"), F.count_if(F.col("cosine") >= 0.85).alias("flagged"))
+
+
+@query("select a.vec_id as held_id, b.vec_id as ref_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from embeddings a join embeddings b on a.vec_id % 5 = 0 and b.vec_id % 5 <> 0 where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.85")
+def embedding_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of held-out vectors (every fifth) and the others at cosine 0.85 or more."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    held, ref = e.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "held_id"), e.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "ref_id")
+    return overlap.dense_pairs(held, ref, 0.85, "held_id", "ref_id").withColumn("cosine", F.round("cosine", 4))
+
+
+_HE = "select item_id, ('0x' || substr(sha256(tok), 1, 8))::bigint as h from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from benchmark)"
+
+
+@query(f"select item_id, count(*) as dims, round(sqrt(sum(v * v)), 6) as norm from (select item_id, h % 256 as i, sum(case when (h >> 1) & 1 = 1 then -1 else 1 end)::double as v from ({_HE}) group by item_id, i) where v <> 0 group by item_id")
+def hash_embedding_norm(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.hash_vectors(read(spark, d, "benchmark"), "item_id").groupBy("item_id").agg(F.count("*").alias("dims"), F.round(F.first("norm"), 6).alias("norm"))
+
+
+@query("select l_orderkey, l_linenumber, 'shipped' as field, 'event_before_order' as issue from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate")
+def shipped_before_order(spark: SparkSession, d: str) -> DataFrame:
+    """The provenance rule between two tables: an event dated before the record that it belongs to."""
+    li, o = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), read(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return li.join(o, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") < F.col("o_orderdate"))).select("l_orderkey", "l_linenumber", F.lit("shipped").alias("field"), F.lit("event_before_order").alias("issue"))
+
+
+def _dated(spark: SparkSession) -> DataFrame:
+    """Tasks of which some have a date that can't be right."""
+    t = synth.flat_tasks(spark, N)
+    i = F.col("idx")
+    return t.withColumn("closed_at", F.when(i % 31 == 0, "YYYY-MM-DD").when(i % 37 == 0, "2026/01/05").when(i % 41 == 0, "2027-03-01").when(i % 43 == 0, "2023-01-01").otherwise(F.col("closed_at"))).withColumn("generated_at", F.when(i % 47 == 0, "soon").otherwise(F.col("generated_at")))
+
+
+_DATED = f"select * replace (case when idx % 31 = 0 then 'YYYY-MM-DD' when idx % 37 = 0 then '2026/01/05' when idx % 41 = 0 then '2027-03-01' when idx % 43 = 0 then '2023-01-01' else closed_at end as closed_at, case when idx % 47 = 0 then 'soon' else generated_at end as generated_at) from ({TASKS})"
+
+
+@query(f"""with t as ({_DATED}), e as (select task_id, try_cast(generated_at as timestamptz) as g, unnest([{", ".join(f"{{'field': '{f}', 'raw': {c}}}" for f, c in EVENTS.items())}]) as e from t),
+x as (select task_id, g, e.field as field, e.raw as raw, case when regexp_matches(e.raw, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') then try_cast(e.raw || 'T00:00:00+00:00' as timestamptz) end as day from e where g is not null)
+select task_id, field, 'placeholder_date' as issue, -1::bigint as lookback_days from x where contains(raw, 'YYYY')
+union all select task_id, field, 'invalid_date_format', -1 from x where not contains(raw, 'YYYY') and day is null
+union all select task_id, field, 'event_after_generation', -1 from x where day > g
+union all select task_id, field, 'outside_signal_window', floor((epoch_us(g) - epoch_us(day)) / 86400000000.0)::bigint from x where floor((epoch_us(g) - epoch_us(day)) / 86400000000.0) > 730
+union all select task_id, 'generated_at', 'invalid_iso_datetime', -1 from t where try_cast(generated_at as timestamptz) is null""")
+def provenance_issues(spark: SparkSession, d: str) -> DataFrame:
+    """lookback_days is -1 where the issue has none."""
+    return overlap.provenance_issues(_dated(spark), ["task_id"], "generated_at", EVENTS).withColumn("lookback_days", F.coalesce("lookback_days", F.lit(-1).cast("bigint")))
+
+
+_SPLITOF = "case when idx % 10 < 5 then 'train' when idx % 10 < 8 then 'dev' else 'held_out' end"
+
+
+def _split_tasks(spark: SparkSession, extended: bool) -> DataFrame:
+    t = synth.flat_tasks(spark, N)
+    return t.select("task_id", F.when(F.col("idx") % 10 < 5, "train").when(F.col("idx") % 10 < 8, "dev").otherwise("held_out").alias("split"), overlap.fingerprint(t, extended).alias("text"))
+
+
+def _report_sql(extended: bool) -> str:
+    fields = "domain, segment, segment_conf, roles_today, roles_60, closed_at, layoff_date, started_at, stack, headcount, outreach_type" + (", company_size, bench_state" if extended else "")
+    vec = "select task_id, split, ('0x' || substr(sha256(tok), 1, 8))::bigint % 256 as k, sum(case when (('0x' || substr(sha256(tok), 1, 8))::bigint >> 1) & 1 = 1 then -1 else 1 end)::double as v from (select task_id, split, unnest(regexp_extract_all(text, '[a-z0-9]+')) as tok from f) group by all" if extended else "select task_id, split, tok as k, count(*)::double as v from (select task_id, split, unnest(regexp_extract_all(text, '[a-z0-9]+')) as tok from f) group by all"
+    return f"""with f as (select task_id, {_SPLITOF} as split, lower(concat_ws(' ', {fields})) as text from ({TASKS})),
+g as (select task_id, split, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' ')))) as g from (select *, string_split(text, ' ') as w from f) where len(w) >= 8),
+o as (select b.split as ref_split, count(*) as shared from g a join g b using (g) where a.split = 'held_out' and b.split <> 'held_out' group by a.task_id, b.task_id, b.split),
+os as (select ref_split, max(shared) as max_shared, count(*) as ngram_pairs from o group by ref_split),
+v as ({vec}), n as (select task_id, sqrt(sum(v * v)) as n from v group by task_id),
+c as (select b.split as ref_split, sum(a.v * b.v) / (any_value(na.n) * any_value(nb.n)) as c from v a join v b using (k) join n na on na.task_id = a.task_id join n nb on nb.task_id = b.task_id where a.split = 'held_out' and b.split <> 'held_out' group by a.task_id, b.task_id, b.split),
+cs as (select ref_split, max(c) as max_cosine, count(*) filter (where c >= 0.85) as cosine_pairs from c group by ref_split)
+select s.ref_split, coalesce(max_shared, 0) as max_shared, coalesce(ngram_pairs, 0) as ngram_pairs, round(coalesce(max_cosine, 0), 6) as max_cosine, coalesce(cosine_pairs, 0) as cosine_pairs, coalesce(max_shared, 0) < 1 and coalesce(max_cosine, 0) < 0.85 as pass
+from (select distinct split as ref_split from f where split <> 'held_out') s left join os using (ref_split) left join cs using (ref_split)"""
+
+
+@query(_report_sql(True))
+def contamination_report_v1(spark: SparkSession, d: str) -> DataFrame:
+    """13 fields and hashed features."""
+    return overlap.report(_split_tasks(spark, True), "split", "task_id", "text", overlap.hash_vectors)
+
+
+@query(_report_sql(False))
+def contamination_report_v2(spark: SparkSession, d: str) -> DataFrame:
+    """11 fields and term frequencies."""
+    return overlap.report(_split_tasks(spark, False), "split", "task_id", "text", overlap.term_vectors)
+
+
+# De-duplication and splits
+
+
+@query("select doc_id, lang, source from (select *, row_number() over (partition by trim(source || '/' || lang) order by doc_id) as r from documents) where r = 1")
+def dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "lang", "source", F.concat_ws("/", "source", "lang").alias("k"))
+    return selection.dedupe(docs, "k", "doc_id").select("doc_id", "lang", "source")
+
+
+@query("select doc_id, lang, source from (select *, row_number() over (partition by trim(source || '/' || lang) order by doc_id desc) as r from documents) where r = 1")
+def dedupe_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "lang", "source", F.concat_ws("/", "source", "lang").alias("k"))
+    return selection.dedupe(docs, "k", "doc_id", last=True).select("doc_id", "lang", "source")
+
+
+@query("select md5(text) as digest, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def duplicate_texts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query(f"""with recursive g as (select key, n, row_number() over (order by h, key) as r from (select source || '|' || lang as key, count(*) as n, sha256('42|' || source || '|' || lang) as h from documents group by all)),
+t as (select floor(sum(n) * 0.5) as t1, floor(sum(n) * 0.3) as t2 from g),
+f as (select 0::bigint as r, ''::varchar as key, 0::hugeint as x, 0::hugeint as y, ''::varchar as split union all
+select g.r, g.key, case when x + n <= t1 then x + n else x end, case when x + n > t1 and y + n <= t2 then y + n else y end, case when x + n <= t1 then 'train' when y + n <= t2 then 'dev' else 'held_out' end from f join g on g.r = f.r + 1, t)
+select doc_id, split from documents join f on f.key = source || '|' || lang""")
+def grouped_split(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang")
+    return splits.grouped_split(docs, splits.similarity_key("source", "lang"), "doc_id", rebalance=False).select("doc_id", "split")
+
+
+@query()
+def rebalanced_split(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang")
+    return splits.grouped_split(docs, splits.similarity_key("source", "lang"), "doc_id").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query()
+def seed_search(spark: SparkSession, d: str) -> DataFrame:
+    t = synth.flat_tasks(spark, N)
+    return splits.seed_search(t, splits.similarity_key("domain", "segment", "stack", "headcount", "outreach_type"), 32, "company_size")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def anti_join_unlabelled(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("select (select count(*) from labels where doc_id not in (select doc_id from documents)) as orphans, (select count(*) from (select doc_id from labels group by doc_id having count(*) > 1)) as repeated")
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    labels = read(spark, d, "labels").select("doc_id")
+    lost = labels.join(read(spark, d, "documents").select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("orphans"))
+    return lost.crossJoin(labels.groupBy("doc_id").count().where("count > 1").agg(F.count("*").alias("repeated")))
+
+
+# Judging and preferences
+
+_JUDGED = "select task_id, generator, split_part(lower(generator), '/', 1) as gen_family, case when idx % 13 = 0 then null else greatest(1, least(5, 3 + idx % 4))::int end as a, case when idx % 17 = 0 then null else greatest(1, least(5, 4 + idx % 3))::int end as b, (4 + idx % 2)::int as c"
+
+
+def _responses(t: DataFrame) -> DataFrame:
+    i = F.col("idx")
+    return t.select("task_id", F.when(i % 13 != 0, (3 + i % 4).cast("string")).alias(selection.SCORES[0]), F.when(i % 17 != 0, (4 + i % 3).cast("string")).alias(selection.SCORES[1]), (4 + i % 2).cast("string").alias(selection.SCORES[2]))
+
+
+@query(f"select task_id, gen_family as generator_family, coalesce(a, 1) as input_coherence, coalesce(b, 1) as ground_truth_verifiability, c as rubric_application_clarity, gen_family <> 'cheap' as no_leakage_ok, case when least(coalesce(a, 1), coalesce(b, 1), c) >= 4 and gen_family <> 'cheap' then 'accept' else 'reject' end as decision from ({_JUDGED} from ({TASKS}))")
+def judge_decisions(spark: SparkSession, d: str) -> DataFrame:
+    t = synth.flat_tasks(spark, N)
+    j = selection.judge(t.withColumnRenamed("generator", "generator_model"), _responses(t), "Cheap/judge-2")
+    return j.select("task_id", "generator_family", *selection.SCORES, "no_leakage_ok", "decision")
+
+
+@query(f"with t as ({TASKS}) select a.task_id as id_a, b.task_id as id_b, case when length(a.body) >= length(b.body) then a.task_id else b.task_id end as winner from t a join t b on b.idx = a.idx + 1 where a.idx % 2 = 1")
+def pairwise_winner(spark: SparkSession, d: str) -> DataFrame:
+    t = synth.flat_tasks(spark, N).select("idx", "task_id", "body")
+    a, b = t.where("idx % 2 = 1"), t.select((F.col("idx") - 1).alias("idx"), F.col("task_id").alias("id_b"), F.col("body").alias("body_b"))
+    return a.join(b, "idx").select(F.col("task_id").alias("id_a"), "id_b", selection.pair_winner(F.col("task_id"), F.col("body"), F.col("id_b"), F.col("body_b")).alias("winner"))
+
+
+@query(f"select task_id, source_mode from (select task_id, source_mode, row_number() over (partition by source_mode order by idx) as r from ({TASKS})) where r <= case source_mode when 'trace_derived' then 20 when 'programmatic' then 15 else 10 end")
+def accept_quota(spark: SparkSession, d: str) -> DataFrame:
+    target = F.when(F.col("source_mode") == "trace_derived", 20).when(F.col("source_mode") == "programmatic", 15).otherwise(10)
+    return selection.accept_quota(synth.flat_tasks(spark, N).select("task_id", "source_mode", "idx"), "source_mode", "idx", target).select("task_id", "source_mode")
+
+
+def _family(alias: str) -> str:
+    j = "lower(array_to_string(i_direct || i_grounded || i_honest || i_professional || i_non_condescending, ' '))"
+    return f"case when regexp_matches({j}, 'capacity_commitment|specific_total_contract_value|discount|pricing') then 'BEN' when regexp_matches({j}, 'banned_phrases|condescending|external_bench_term') then 'TON' when regexp_matches({j}, 'required_signal|weak_signal_assertion') then 'SIG' when regexp_matches(lower(concat_ws(' ', outreach_type, company, stack, pricing_request)), 'schedule|slots|calendar|book') then 'SCH' else 'MTL' end as {alias}"
+
+
+@query(f"select task_id, {_family('family')} from ({rubric.sql(TASKS, keep='task_id, outreach_type, company, stack, pricing_request')})")
+def failure_family(spark: SparkSession, d: str) -> DataFrame:
+    t = rubric.score_flat(synth.flat_tasks(spark, N), keep=("task_id", "outreach_type", "company", "stack", "pricing_request"))
+    issues = F.flatten(F.array(*(F.col(f"marker_issues.{m}") for m in rubric.MARKERS)))
+    return t.select("task_id", preferences.failure_family(issues, F.concat_ws(" ", "outreach_type", "company", "stack", "pricing_request")).alias("family"))
+
+
+@query()
+def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return preferences.pairs(synth.flat_tasks(spark, N))
+
+
+@query()
+def preference_violations(spark: SparkSession, d: str) -> DataFrame:
+    return preferences.violations(preferences.pairs(synth.flat_tasks(spark, N)))
+
+
+# Statistics
+
+
+@query("select event_type, count(*) as n, round(avg(value), 6) as mean_value, round(quantile_cont(value, 0.5), 6) as median_value, round(avg((value > 50)::int), 6) as pass_rate from events group by event_type")
+def summary_by_variant(spark: SparkSession, d: str) -> DataFrame:
+    return stats.summarize(read(spark, d, "events").withColumn("ok", F.col("value") > 50), ["event_type"], ["value"], "ok")
+
+
+@query("select l_returnflag, l_linestatus, round(quantile_cont(l_quantity, 0.025), 6) as p025, round(quantile_cont(l_quantity, 0.5), 6) as p500, round(quantile_cont(l_quantity, 0.975), 6) as p975 from lineitem group by all")
+def percentiles_by_group(spark: SparkSession, d: str) -> DataFrame:
+    p = lambda x: F.round(F.percentile("l_quantity", F.lit(x)), 6)
+    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(p(0.025).alias("p025"), p(0.5).alias("p500"), p(0.975).alias("p975"))
+
+
+_VAR = "select conv_id, role as variant, avg(length(text)) as score from conversations where role in ('user', 'assistant') group by all"
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations").where(F.col("role").isin("user", "assistant")).groupBy("conv_id", F.col("role").alias("variant")).agg(F.avg(F.length("text")).alias("score"))
+
+
+@query(f"select a.conv_id, round(a.score - b.score, 6) as diff from ({_VAR}) a join ({_VAR}) b on a.conv_id = b.conv_id and a.variant = 'assistant' and b.variant = 'user'")
+def paired_diffs(spark: SparkSession, d: str) -> DataFrame:
+    return stats.paired_diffs(_variants(spark, d), "conv_id", "variant", "score", "assistant", "user").withColumn("diff", F.round("diff", 6))
+
+
+@query(f"select conv_id, round(max(score) filter (where variant = 'assistant'), 6) as assistant, round(max(score) filter (where variant = 'user'), 6) as user from ({_VAR}) group by conv_id")
+def variant_pivot(spark: SparkSession, d: str) -> DataFrame:
+    p = _variants(spark, d).groupBy("conv_id").pivot("variant", ["assistant", "user"]).agg(F.max("score"))
+    return p.select("conv_id", F.round("assistant", 6).alias("assistant"), F.round("user", 6).alias("user"))
+
+
+_BOOT = f"""with s as ({rubric.sql(TASKS, keep='task_id')}), w as ({rubric.sql(f"select * replace (case when idx % 3 = 0 then body || ' You should book a call.' else body end as body) from ({TASKS})", keep='task_id')}),
+x as (select row_number() over (order by task_id) - 1 as r, s.pct - w.pct as diff from s join w using (task_id)), n as (select count(*) as n, avg(diff) as m from x),
+it as (select unnest(range(0, 2000)) as i), dr as (select i, j, ('0x' || substr(sha256('42|' || i || '|' || j), 1, 8))::bigint % (select n from n) as r from it, (select unnest(range(0, (select n from n))) as j)),
+me as (select i, sum(diff) / (select n from n) as m from dr join x using (r) group by i)
+select (select n from n) as n, round((select m from n), 6) as mean_diff, round(quantile_cont(m, 0.025), 6) as ci_low, round(quantile_cont(m, 0.975), 6) as ci_high, round((count(*) filter (where m <= 0) + 1) / 2001.0::double, 6) as p_one,
+round(least(1.0, 2 * least((count(*) filter (where m <= 0) + 1) / 2001.0::double, (count(*) filter (where m >= 0) + 1) / 2001.0::double)), 6) as p_two,
+round(quantile_cont(m, 0.025), 6) > 0 and (count(*) filter (where m <= 0) + 1) / 2001.0::double < 0.05 as significant from me"""
+
+
+@query(_BOOT)
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Paired bootstrap of rubric scores: tasks as they are against tasks of which a third has a pushy sentence added."""
+    t = synth.flat_tasks(spark, N)
+    worse = t.withColumn("body", F.when(F.col("idx") % 3 == 0, F.concat("body", F.lit(" You should book a call."))).otherwise(F.col("body")))
+    both = rubric.score_flat(t, keep=("task_id",)).withColumn("v", F.lit("a")).unionByName(rubric.score_flat(worse, keep=("task_id",)).withColumn("v", F.lit("b")))
+    return stats.significant(stats.bootstrap(stats.paired_diffs(both, "task_id", "v", "aggregate_score_pct", "a", "b"), "task_id", 2000, 42))
+
+
+@query("select coalesce(marker, 'overall') as marker, round(avg(same) * 100, 2) as agreement_pct from (select 'quality' as marker, (quality = 1 - toxic)::int as same from labels union all select 'toxic', (toxic = (doc_id % 7 = 0)::int)::int from labels) group by rollup(marker)")
+def agreement_labels(spark: SparkSession, d: str) -> DataFrame:
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    return selection.agreement(read(spark, d, "labels"), {"quality": q, "toxic": t}, {"quality": ~t, "toxic": F.col("doc_id") % 7 == 0})
+
+
+@query(f"select coalesce(marker, 'overall') as marker, round(avg(same) * 100, 2) as agreement_pct from (select unnest([{', '.join(f"{{'marker': '{m}', 'same': {'1' if m != 'direct' else '(p_direct >= 4) = (case when outreach_type = ' + chr(39) + 'cold' + chr(39) + ' and n_w > 40 then p_direct - 1 else p_direct end >= 4)'}::int}}" for m in rubric.MARKERS)}], recursive := true) from (select *, len(regexp_extract_all(body, '\\b[\\w''-]+\\b')) as n_w from ({rubric.sql(TASKS, keep='task_id, outreach_type, body, idx')}) where idx <= 30)) group by rollup(marker)")
+def agreement_by_marker(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes over the first 30 tasks; the second is stricter on the directness of long cold texts."""
+    t = rubric.score_flat(synth.flat_tasks(spark, N).where("idx <= 30"), keep=("task_id", "outreach_type", "body"))
+    first = {m: F.col(f"marker_scores.{m}") >= 4 for m in rubric.MARKERS}
+    strict = F.when((F.col("outreach_type") == "cold") & (text.word_count(F.col("body")) > 40) & (F.col("marker_scores.direct") > 1), F.col("marker_scores.direct") - 1).otherwise(F.col("marker_scores.direct"))
+    return selection.agreement(t, first, first | {"direct": strict >= 4})
+
+
+_CALL = "select event_id, user_id % 10 as client, event_type, event_type <> 'error' as success, case when event_type = 'view' then null else value end as cost, (props->>'$.k')::bigint as tokens from events"
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    k = F.from_json("props", "k bigint")["k"]
+    return e.select("event_id", (F.col("user_id") % 10).alias("client"), (F.col("event_type") != "error").alias("success"), F.when(F.col("event_type") != "view", F.col("value")).alias("cost"), k.alias("prompt_tokens"), (k * 2).alias("completion_tokens"))
+
+
+@query(f"select client, count(*) as calls, count(*) filter (where not success) as failed, sum(coalesce(tokens, 0))::bigint as tokens_in, sum(coalesce(tokens * 2, 0))::bigint as tokens_out, round(coalesce(sum(cost) filter (where success), 0), 4) as cost, count(*) filter (where success and cost is null) as unknown_cost from ({_CALL}) group by client")
+def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return selection.cost_rollup(_calls(spark, d), ["client"]).withColumn("cost", F.round("cost", 4))
+
+
+@query(f"select event_id, client, sum(1 - ok) over (partition by client, island order by event_id)::bigint as streak from (select *, sum(ok) over (partition by client order by event_id) as island from (select *, success::int as ok from ({_CALL})))")
+def failure_streaks(spark: SparkSession, d: str) -> DataFrame:
+    return selection.failure_streaks(_calls(spark, d), ["client"], "event_id", F.col("success")).select("event_id", "client", "streak")
+
+
+@query(f"with s as (select event_id, client, sum(1 - ok) over (partition by client, island order by event_id)::bigint as streak from (select *, sum(ok) over (partition by client order by event_id) as island from (select *, success::int as ok from ({_CALL})))), f as (select client, min(event_id) as e from s where streak >= 3 group by client) select s.event_id, s.client from s left join f using (client) where s.event_id <= coalesce(e, s.event_id)")
+def early_stop(spark: SparkSession, d: str) -> DataFrame:
+    return selection.stop_after(_calls(spark, d), ["client"], "event_id", F.col("success"), 3).select("event_id", "client")
+
+
+@query("with b as (select * from (values (1, 'trace_derived', 72), (2, 'programmatic', 72), (3, 'multi_llm_synthesis', 60), (4, 'hand_authored_adversarial', 36)) v(pos, key, n)), r as (select pos, key, n::bigint as n, round_even(n * 250 / 240.0::double, 0)::bigint as r from b) select pos::bigint as pos, key, n, (r + case when pos = 1 then 250 - (select sum(r) from r) else 0 end)::bigint as scaled from r")
+def quota_allocation(spark: SparkSession, d: str) -> DataFrame:
+    base = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(synth.QUOTAS.items(), 1)], "pos bigint, key string, n bigint")
+    return stats.scale_counts(base, 250)
+
+
+@query("select coalesce(event_type, 'overall') as event_type, round(sum((value > 50)::int) / count(*)::double, 6) as trigger_rate from events group by rollup(event_type)")
+def trigger_rate(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").rollup("event_type").agg(F.round(F.sum((F.col("value") > 50).cast("int")) / F.count("*"), 6).alias("trigger_rate")).select(F.coalesce("event_type", F.lit("overall")).alias("event_type"), "trigger_rate")
+
+
+@query("select event_type, round(avg(value), 6) as mean_value, round(avg(value) / nullif((select avg(value) from events where event_type = 'view'), 0), 6) as ratio from events group by event_type")
+def mean_ratio(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    base = e.where("event_type = 'view'").agg(F.avg("value").alias("base"))
+    return stats.ratio(e.groupBy("event_type").agg(F.avg("value").alias("m")).crossJoin(base), "m", "base", "ratio").select("event_type", F.round("m", 6).alias("mean_value"), "ratio")
+
+
+@query("select event_id, floor((event_id) / 100)::bigint as batch, upper(substr(event_type, 1, 3)) || '-' || lpad((row_number() over (partition by event_type order by event_id))::varchar, 5, '0') as task_id from events")
+def chunk_and_number(spark: SparkSession, d: str) -> DataFrame:
+    e = selection.chunks(read(spark, d, "events").select("event_id", "event_type"), "event_id", 100)
+    return selection.ordinal_ids(e, "event_type", "event_id").select("event_id", F.col("batch").cast("bigint").alias("batch"), "task_id")
+
+
+@query("select event_id from events order by sha256('42|' || event_id), event_id limit 50")
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    return selection.sample(read(spark, d, "events").select("event_id"), "event_id", 50)
+
+
+@query("select arg_min(event_id, value) as best, min(value) as value from events where value is not null")
+def best_by_loss(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").where("value is not null").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best"), F.min("value").alias("value"))

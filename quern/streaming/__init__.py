@@ -1 +1 @@
-
+"""Structured Streaming: an extension, for logs that grow."""
