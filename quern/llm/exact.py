@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,17 @@ def _streamed(spark: SparkSession, path: str, files_per_batch: int, digest: Call
         return spark.createDataFrame([], kept)
 
 
+def _bitmap(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A one-row table (quern_bits) with a bit set for the hash of each key, and the number of bits: 16 a key, 64 Ki to 64 Mi."""
+    n = keys.count()
+    size = 1 << min(26, max(16, (16 * n).bit_length()))
+    b = F.pmod(F.xxhash64(column), F.lit(size))
+    words = keys.select(b.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("v")).toArrow()
+    dense = np.zeros(size // 64, dtype=np.int64)
+    dense[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return keys.sparkSession.createDataFrame([(dense.tolist(),)], "quern_bits array<bigint>"), size
+
+
 def dedup(spark: SparkSession, path: str, files_per_batch: int = PARAMS["files_per_batch"], digest: Callable[[str], Column] = sha) -> DataFrame:
     """(doc_id, keep_id, duplicate) of every row of the Parquet table at ``path``.
 
@@ -82,7 +94,10 @@ def dedup(spark: SparkSession, path: str, files_per_batch: int = PARAMS["files_p
     # full bytes: hits and the documents they hit, by locator
     hits = told.where("hit")
     wanted = common.written(hits.select("digest", "path", "row", "doc_id", F.lit(1).alias("late")).unionByName(hits.select("digest", F.col("k_path").alias("path"), F.col("k_row").alias("row"), F.col("k_id").alias("doc_id"), F.lit(0).alias("late")).distinct()), "wanted")
-    content = docs.select("text", *where).join(wanted, ["path", "row"]).select("digest", "text", F.struct("late", F.col("doc_id").isNull().alias("id_null"), "doc_id", "path", "row").alias("e"))
+    # a bitmap of the hits' digests, at most 8 MB whatever their number, keeps most other texts out of the shuffle
+    bits, size = _bitmap(hits.select("digest"), "digest")
+    near = docs.select("text", *where, F.pmod(F.xxhash64(digest("text")), F.lit(size)).alias("quern_b")).join(F.broadcast(bits), F.expr("shiftright(quern_bits[int(quern_b / 64)], int(quern_b % 64)) & 1 = 1")).drop("quern_bits", "quern_b")
+    content = near.join(wanted, ["path", "row"]).select("digest", "text", F.struct("late", F.col("doc_id").isNull().alias("id_null"), "doc_id", "path", "row").alias("e"))
     content = common.written(content, "content")
     by_bytes = content.groupBy("digest", "text").agg(F.min("e").alias("f"))
     settled = content.join(by_bytes, ["digest", "text"]).where("e.late = 1").select(F.col("e.doc_id").alias("doc_id"), F.col("f.doc_id").alias("keep_id"), (F.col("e") != F.col("f")).alias("duplicate"))
