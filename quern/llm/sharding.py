@@ -126,7 +126,8 @@ def reshard(docs: DataFrame, by: str = PARAMS["by"], n_shards: int = PARAMS["n_s
     shards = [(r["name"], r["bytes"]) for r in sizes.collect()]
     shards.sort(key=lambda x: (x[0] is not None, x[0]))
     counts = [max(1, -(-b // block_bytes)) for _, b in shards]
-    known = spark.createDataFrame([(name, i, k) for i, ((name, _), k) in enumerate(zip(shards, counts, strict=True))], f"name {dict(docs.dtypes)[by]}, shard int, n_blocks bigint")
+    # written, so that Spark knows their sizes and needn't shuffle text to join them
+    known = common.written(spark.createDataFrame([(name, i, k) for i, ((name, _), k) in enumerate(zip(shards, counts, strict=True))], f"name {dict(docs.dtypes)[by]}, shard int, n_blocks bigint"), "shards")
     blocked = _block(docs, by, known)
     blocks = common.written(blocked.groupBy("quern_shard", "quern_block").agg(F.sum(_bytes()).alias("bytes")), "blocks")
     per = {r["quern_shard"]: (r["k"], r["bytes"]) for r in blocks.groupBy("quern_shard").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes")).collect()}
