@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs of letters, digits and underscores; texts are lower-cased first.
@@ -62,6 +62,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct, quern_row: what an operator adds then can't clash with a name of the input; 'quern_row.*' gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("quern_row")
+
+
 ROW_BITS = 36
 
 

@@ -105,16 +105,6 @@ def _packets(slots: list[int], blobs: list[bytes]) -> pa.RecordBatch:
 PACKET = "slot int, blob binary"
 
 
-def _send(slot: np.ndarray, columns: list[np.ndarray], slots: int) -> Iterator[pa.RecordBatch]:
-    """Entries (one value a column each) as a packet for each slot."""
-    order = np.argsort(slot, kind="stable")
-    at = np.searchsorted(slot[order], np.arange(slots + 1))
-    used = np.flatnonzero(at[1:] > at[:-1])
-    for k in range(0, len(used), 256):
-        some = used[k : k + 256]
-        yield _packets([int(s) for s in some], [_pack(*(c[order[at[s] : at[s + 1]]] for c in columns)) for s in some])
-
-
 def _flat(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i] + lengths[i] - 1, one run after the other."""
     ends = np.cumsum(lengths)
@@ -171,11 +161,6 @@ def _gather(batches: Iterator[pa.RecordBatch], *types: type) -> list[np.ndarray]
     return [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=t) for t in types]
 
 
-def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
-    """A partition holds one slot (repartitionById), so all its packets belong together."""
-    yield batches
-
-
 def _home(rows: np.ndarray, slots: int) -> np.ndarray:
     return _slot(_mix(rows.astype(np.uint64) + _C[0]), slots)
 
@@ -513,10 +498,10 @@ def keep_one(docs: DataFrame, n: int = PARAMS["n"], permille: int = PARAMS["perm
     chosen = named.groupBy("root").agg(F.min_by("row", order).alias("stays"))
     gone = named.join(chosen, "root").where("row <> stays").select("row")
     paths = docs.sparkSession.createDataFrame([(i, p) for p, i in files.items()] or [(-1, "")], "file int, quern_path string")
-    gone = common.written(gone.select(F.shiftright("row", common.ROW_BITS).cast("int").alias("file"), F.col("row").bitwiseAND((1 << common.ROW_BITS) - 1).alias("quern_row")).join(paths, "file").select("quern_path", "quern_row"), "gone")
+    gone = common.written(gone.select(F.shiftright("row", common.ROW_BITS).cast("int").alias("file"), F.col("row").bitwiseAND((1 << common.ROW_BITS) - 1).alias("quern_row_at")).join(paths, "file").select("quern_path", "quern_row_at"), "gone")
     _collect_garbage(docs.sparkSession)
-    out = docs.select("*", F.col("_metadata.file_path").alias("quern_at_path"), F.col("_metadata.row_index").alias("quern_at_row"))
-    return out.join(gone, (F.col("quern_at_path") == F.col("quern_path")) & (F.col("quern_at_row") == F.col("quern_row")), "left_anti").drop("quern_at_path", "quern_at_row")
+    out = docs.select(common.packed(docs), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    return out.join(gone, (F.col("path") == F.col("quern_path")) & (F.col("at") == F.col("quern_row_at")), "left_anti").select("quern_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,15 +95,15 @@ def cell_plan(docs: DataFrame, **params: object) -> DataFrame:
 
 
 def _drawn(docs: DataFrame, p: dict) -> DataFrame:
-    """docs with struct column quern_mix (source, lang, topic, n_tokens, prob, target), only the rows drawn.
+    """The rows drawn, as struct quern_row, with source, lang, topic, target and prob.
 
     The left join keeps text in place while the table of cells is under Spark's broadcast threshold.
     """
-    cells = cell_plan(docs, **p).select(*(F.col(c).alias(f"quern_{c}") for c in (*MARGINS, "target", "prob")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    have = docs.withColumn("quern_s", F.coalesce(F.col("source"), F.lit(NONE))).withColumn("quern_l", F.coalesce(F.col("lang"), F.lit(NONE))).withColumn("quern_t", topic_of()).withColumn("quern_u", common.md5_unit(key, p["seed"]))
-    joined = have.join(cells, (F.col("quern_s") == F.col("quern_source")) & (F.col("quern_l") == F.col("quern_lang")) & (F.col("quern_t") == F.col("quern_topic")), "left")
-    return joined.where(F.coalesce(F.col("quern_u") < F.col("quern_prob"), F.lit(False)))
+    row = "quern_row."
+    key = F.coalesce(F.col(row + "doc_id").cast("string"), F.col(row + "text"), F.lit(""))
+    have = docs.select(common.packed(docs))
+    have = have.select("quern_row", F.coalesce(row + "source", F.lit(NONE)).alias("source"), F.coalesce(row + "lang", F.lit(NONE)).alias("lang"), topic_of(row + "text").alias("topic"), common.md5_unit(key, p["seed"]).alias("u"))
+    return have.join(cell_plan(docs, **p), list(MARGINS), "left").where(F.coalesce(F.col("u") < F.col("prob"), F.lit(False)))
 
 
 def mix(docs: DataFrame, **params: object) -> DataFrame:
@@ -113,13 +113,13 @@ def mix(docs: DataFrame, **params: object) -> DataFrame:
     unless others of the cell have tokens; they then share its probability. A row's number in [0, 1) comes from its doc_id (its text
     where that is null), so repeated rows stay or go together. An empty table gives no rows.
     """
-    return _drawn(docs, PARAMS | params).select(*(docs[c] for c in docs.columns))
+    return _drawn(docs, PARAMS | params).select("quern_row.*")
 
 
 def mix_plan(docs: DataFrame, **params: object) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, prob, weight) of the rows drawn. weight: target share over drawn share, before chance."""
+    """(doc_id, source, lang, topic, n_tokens, prob, target) of the rows drawn; target is the raked share of the row's cell."""
     d = _drawn(docs.select("doc_id", "source", "lang", "text"), PARAMS | params)
-    return d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quern_source").alias("source"), F.col("quern_lang").alias("lang"), F.col("quern_topic").alias("topic"), n_tokens().alias("n_tokens"), F.round("quern_prob", 6).alias("prob"), F.round("quern_target", 6).alias("target"))
+    return d.select(F.col("quern_row.doc_id").cast("bigint").alias("doc_id"), *MARGINS, n_tokens("quern_row.text").alias("n_tokens"), F.round("prob", 6).alias("prob"), F.round("target", 6).alias("target"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

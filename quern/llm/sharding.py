@@ -100,18 +100,18 @@ def plan_transfers(blocks: list[int], mean_bytes: list[float], room: list[int])
 
 
 def _block(docs: DataFrame, by: str, shards: DataFrame) -> DataFrame:
-    """docs with quern_shard and quern_block. The table of shards is broadcast while it is under Spark's threshold."""
-    shards = shards.select(F.col("name").alias("quern_name"), F.col("shard").alias("quern_shard"), F.col("n_blocks").alias("quern_n"))
-    joined = docs.join(shards, F.col(by).eqNullSafe(F.col("quern_name")), "left")
-    return joined.withColumn("quern_block", F.pmod(F.xxhash64(F.lit(7), docs["doc_id"].cast("bigint")), F.col("quern_n"))).drop("quern_name", "quern_n")
+    """quern_row, quern_shard and quern_block of each row. The table of shards is broadcast while it is under Spark's threshold."""
+    rows = docs.select(common.packed(docs))
+    joined = rows.join(shards, F.col(f"quern_row.{by}").eqNullSafe(F.col("name")), "left")
+    return joined.select("quern_row", F.col("shard").alias("quern_shard"), F.pmod(F.xxhash64(F.lit(7), F.col("quern_row.doc_id").cast("bigint")), F.col("n_blocks")).alias("quern_block"))
 
 
-def _bytes() -> Column:
-    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+def _bytes(text: str) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
 def reshard(docs: DataFrame, by: str = PARAMS["by"], n_shards: int = PARAMS["n_shards"], block_bytes: int = PARAMS["block_bytes"], slack: float = PARAMS["slack"]) -> DataFrame:
-    """``docs`` with quern_shard (old), quern_block, quern_to (new) and quern_rewritten added.
+    """Each row as struct quern_row, with quern_shard (old), quern_block, quern_to (new) and quern_rewritten.
 
     Old shards are numbered by ``by`` in order, null first, and shard k may stay new shard k. Each new shard takes
     ceil((1 + slack) * blocks / n_shards) blocks. A shard whose texts are all empty or null is one block. Rows with the
@@ -122,14 +122,14 @@ def reshard(docs: DataFrame, by: str = PARAMS["by"], n_shards: int = PARAMS["n_s
     under Spark's broadcast threshold, which Spark checks against its written size.
     """
     spark = docs.sparkSession
-    sizes = docs.groupBy(F.col(by).alias("name")).agg(F.sum(_bytes()).alias("bytes"))
+    sizes = docs.groupBy(F.col(by).alias("name")).agg(F.sum(_bytes("text")).alias("bytes"))
     shards = [(r["name"], r["bytes"]) for r in sizes.collect()]
     shards.sort(key=lambda x: (x[0] is not None, x[0]))
     counts = [max(1, -(-b // block_bytes)) for _, b in shards]
     # written, so that Spark knows their sizes and needn't shuffle text to join them
     known = common.written(spark.createDataFrame([(name, i, k) for i, ((name, _), k) in enumerate(zip(shards, counts, strict=True))], f"name {dict(docs.dtypes)[by]}, shard int, n_blocks bigint"), "shards")
     blocked = _block(docs, by, known)
-    blocks = common.written(blocked.groupBy("quern_shard", "quern_block").agg(F.sum(_bytes()).alias("bytes")), "blocks")
+    blocks = common.written(blocked.groupBy("quern_shard", "quern_block").agg(F.sum(_bytes("quern_row.text")).alias("bytes")), "blocks")
     per = {r["quern_shard"]: (r["k"], r["bytes"]) for r in blocks.groupBy("quern_shard").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes")).collect()}
     n = [per[i][0] for i in range(len(shards))]
     room = [math.ceil((1 + slack) * sum(n) / n_shards)] * n_shards
@@ -148,7 +148,7 @@ def reshard(docs: DataFrame, by: str = PARAMS["by"], n_shards: int = PARAMS["n_s
 def place(docs: DataFrame, **params: object) -> DataFrame:
     """``docs`` with columns old_shard and new_shard after its own; an own column of such a name is left out."""
     names = [c for c in docs.columns if c not in ("old_shard", "new_shard")]
-    return reshard(docs.select(*names), **(PARAMS | params)).select(*(F.col(c) for c in names), F.col("quern_shard").alias("old_shard"), F.col("quern_to").alias("new_shard"))
+    return reshard(docs.select(*(f"`{c}`" for c in names)), **(PARAMS | params)).select("quern_row.*", F.col("quern_shard").alias("old_shard"), F.col("quern_to").alias("new_shard"))
 
 
 def rewrite(spark: SparkSession, src: str, dst: str, **params: object) -> list[int]:
@@ -162,11 +162,11 @@ def rewrite(spark: SparkSession, src: str, dst: str, **params: object) -> list[i
     placed = reshard(docs, **p)
     inner = [c for c in docs.columns if c != "old_shard"]
     changed = sorted(r[0] for r in placed.where("quern_rewritten").select("quern_to").distinct().collect())
-    names = {r[0]: r[1] for r in placed.select("quern_shard", "old_shard").distinct().collect()}
+    names = {r[0]: r[1] for r in placed.select("quern_shard", "quern_row.old_shard").distinct().collect()}
     lost = sorted(r[0] for r in placed.where("quern_to <> quern_shard").select("quern_shard").distinct().collect())
     affected = sorted({*changed, *lost})
     # rows of affected shards only: the filter on old_shard prunes folders
-    placed.where(F.col("old_shard").isin([names[i] for i in lost] + [names[i] for i in changed if i in names])).where(F.col("quern_to").isin(affected)).select(*inner, F.col("quern_to").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(dst)
+    placed.where(F.col("quern_row.old_shard").isin([names[i] for i in lost] + [names[i] for i in changed if i in names])).where(F.col("quern_to").isin(affected)).select(*(F.col(f"quern_row.`{c}`") for c in inner), F.col("quern_to").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(dst)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     for i, name in names.items():
@@ -178,4 +178,4 @@ def rewrite(spark: SparkSession, src: str, dst: str, **params: object) -> list[i
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return reshard(docs, **PARAMS).select("doc_id", "source", F.col("quern_shard").alias("old_shard"), F.col("quern_block").alias("block"), F.col("quern_to").alias("new_shard"), (F.col("quern_to") != F.col("quern_shard")).alias("moved"), F.col("quern_rewritten").alias("rewritten"))
+    return reshard(docs, **PARAMS).select("quern_row.doc_id", "quern_row.source", F.col("quern_shard").alias("old_shard"), F.col("quern_block").alias("block"), F.col("quern_to").alias("new_shard"), (F.col("quern_to") != F.col("quern_shard")).alias("moved"), F.col("quern_rewritten").alias("rewritten"))
