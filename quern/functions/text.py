@@ -88,9 +88,15 @@ def parse_labelled(text: Column) -> Column:
     )
 
 
+def whole_json(c: Column) -> Column:
+    """The text as a variant if all of it is one JSON value, else null. The parser alone would stop after the first value."""
+    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+
+
 def parse_output(c: Column) -> Column:
     """Struct (subject, body) of a string column: the fields of a JSON object; blanks for other JSON; else the text as body."""
-    v = F.try_parse_json(c)
+    v = whole_json(c)
     kind = F.schema_of_variant(v)
     is_object = F.startswith(kind, F.lit("OBJECT"))
     field = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.functions.text import whole_json
+
 
 def read_lines(spark: SparkSession, path: str, schema: StructType | str, missing_ok: bool = False, strict: bool = True) -> DataFrame:
     """JSON lines; blank lines are skipped, a malformed one fails the read, or is dropped if not strict.
@@ -38,7 +40,7 @@ def read_tasks(spark: SparkSession, path: str, schema: StructType | str) -> Data
     corpora are JSON lines.
     """
     ddl = schema if isinstance(schema, str) else schema.toDDL()
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(whole_json(F.col("value")).alias("v"))
     kind = F.schema_of_variant("v")
     examples = F.try_variant_get("v", "$.examples", "variant")
     array = F.when(F.startswith(kind, F.lit("ARRAY")), F.col("v")).when(F.startswith(F.schema_of_variant(examples), F.lit("ARRAY")), examples)
@@ -49,7 +51,7 @@ def read_tasks(spark: SparkSession, path: str, schema: StructType | str) -> Data
     parsed = items.select(F.from_json(F.to_json("item"), ddl).alias("t")).select("t.*")
     if parsed.limit(1).count():
         return parsed
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.try_parse_json("value").alias("item"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(whole_json(F.col("value")).alias("item"))
     parsed = lines.where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT"))).select(F.from_json(F.to_json("item"), ddl).alias("t")).select("t.*")
     if not parsed.limit(1).count():
         raise ValueError(f"no tasks in {path}")
