@@ -9,7 +9,6 @@ so that sums don't depend on the order of addition.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -81,21 +80,22 @@ def fit(docs: DataFrame, sample_rows: int = PARAMS["sample_rows"], max_gram: int
     sample = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
     counted = sample.mapInArrow(lambda b: _count(b, max_gram), "lang string, k int, gram string, n bigint").groupBy("k", "gram", "lang").agg(F.sum("n").alias("n"))
     kept = counted.groupBy("k", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("total") >= min_count)
-    rows = kept.select("k", "gram", "by").toArrow().to_pylist()
-    langs = sorted({x["lang"] for r in rows for x in r["by"]})
-    at = {lang: i for i, lang in enumerate(langs)}
-    totals, sizes = np.zeros((max_gram + 1, len(langs)), dtype=np.int64), [0] * (max_gram + 1)
-    for r in rows:
-        sizes[r["k"]] += 1
-        for x in r["by"]:
-            totals[r["k"], at[x["lang"]]] += x["n"]
+    got = kept.select("k", "gram", "by").toArrow()
+    by = got.column("by").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))
+    where = np.repeat(np.arange(len(by)), np.diff(np.asarray(by.offsets)))
+    names = by.flatten().field("lang").dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    at = np.array([langs.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)[np.asarray(names.indices)]
+    counts = np.zeros((len(by), len(langs)), dtype=np.int64)
+    counts[where, at] = by.flatten().field("n").to_numpy()
+    order = got.column("k").to_numpy()
+    scores = np.zeros(counts.shape, dtype=np.int64)
+    for k in range(max_gram + 1):
+        mine = counts[order == k]
+        scores[order == k] = np.floor(1000 * np.log((mine + 0.5) / (mine.sum(axis=0) + 0.5 * len(mine))))
     tables: list[dict[str, tuple[int, ...]]] = [{} for _ in range(max_gram + 1)]
-    for r in rows:
-        n = [0] * len(langs)
-        for x in r["by"]:
-            n[at[x["lang"]]] = x["n"]
-        k = r["k"]
-        tables[k][r["gram"]] = tuple(math.floor(1000 * math.log((c + 0.5) / (int(totals[k, i]) + 0.5 * sizes[k]))) for i, c in enumerate(n))
+    for k, gram, row in zip(order.tolist(), got.column("gram").to_pylist(), scores.tolist(), strict=True):
+        tables[k][gram] = tuple(row)
     return Model(langs, tables)
 
 
