@@ -48,9 +48,8 @@ def degrade(chosen: Column, family: Column) -> Column:
 def _mark(rendered: Column) -> Column:
     """Struct (text, score, pass, issues) of a rendered text for the flat task in the same row."""
     said = text.parse_rendered(rendered)
-    r = rubric.flat_columns(said["subject"], said["body"])
-    issues = F.flatten(F.array(*(r["marker_issues"][m] for m in rubric.MARKERS)))
-    return F.struct(rendered.alias("text"), r["aggregate_score_pct"].alias("score"), r["pass"].alias("pass"), issues.alias("issues"))
+    r = rubric.score_struct(rubric.flat_inputs(said["subject"], said["body"]))
+    return F.transform(F.array(r), lambda x: F.struct(rendered.alias("text"), x["aggregate_score_pct"].alias("score"), x["pass"].alias("pass"), F.flatten(F.array(*(x["marker_issues"][m] for m in rubric.MARKERS))).alias("issues")))[0]
 
 
 def pairs(flat: DataFrame) -> DataFrame:

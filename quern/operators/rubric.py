@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,78 +14,90 @@ from quern.operators.synth import AVAILABLE
 MARKERS = ("direct", "grounded", "honest", "professional", "non_condescending")
 CAPACITY = r"(\d+)\s+(?:senior\s+|mid\s+|junior\s+)?(python|go|data|ml|infra|frontend)\s+engineers?"
 BIG_SUM = r"\$\s?\d{1,3}(?:,\d{3})+|\$\s?\d{5,}|million"
+RESULTS = ("marker_scores", "marker_issues", "hard_policy_violations", "aggregate_score_pct", "pass")
 SCOPE = "total|12-month|18-month|multi-phase|engagement"
 
 
-def count_asks(c: Column) -> Column:
-    n = text.normalize(c)
-    total = F.contains(c, F.lit("?")).cast("int")
+Row = Callable[[str], Column]
+
+
+def count_asks(body: Column, normal: Column) -> Column:
+    total = F.contains(body, F.lit("?")).cast("int")
     for p in lexicon.ASKS:
-        total = total + F.regexp_count(n, F.lit(p))
+        total = total + F.regexp_count(normal, F.lit(p))
     return total
 
 
-def direct_issues(subject: Column, body: Column, outreach: Column) -> Column:
-    s, kind = text.normalize(subject), F.lower(safe_text(outreach, "cold"))
+def direct_issues(r: Row) -> Column:
+    kind = F.lower(safe_text(r("outreach"), "cold"))
     limit = F.lit(lexicon.DEFAULT_LIMIT)
     for k, v in lexicon.WORD_LIMITS.items():
         limit = F.when(kind == k, v).otherwise(limit)
-    n, asks = text.word_count(body), count_asks(body)
+    n, asks = r("words"), r("asks")
     return F.array_compact(F.array(
-        F.when(F.length(subject) > 60, "subject_too_long"),
-        F.when(text.starts_with_any(s, lexicon.BAD_PREFIXES), "subject_banned_prefix"),
-        F.when(~text.starts_with_any(s, lexicon.GOOD_PREFIXES), "subject_missing_intent_prefix"),
+        F.when(F.length(r("subject")) > 60, "subject_too_long"),
+        F.when(text.starts_with_any(r("n_subject"), lexicon.BAD_PREFIXES), "subject_banned_prefix"),
+        F.when(~text.starts_with_any(r("n_subject"), lexicon.GOOD_PREFIXES), "subject_missing_intent_prefix"),
         F.when(n > limit, F.concat(F.lit("body_word_limit_exceeded:"), n, F.lit(">"), limit)),
         F.when(asks == 0, F.lit("no_explicit_ask")).when(asks > 2, F.concat(F.lit("too_many_asks:"), asks)),
     ))
 
 
-def grounded_issues(body: Column, required: Column, weak_forbidden: Column) -> Column:
-    b = text.normalize(body)
-    weak = text.found_in(lexicon.WEAK_CLAIMS, b)
-    missed = (F.size(required) > 0) & ~F.exists(required, lambda p: F.contains(b, text.normalize(safe_text(p))))
+def grounded_issues(r: Row) -> Column:
+    required, weak = r("required"), r("claims")
+    missed = (F.size(required) > 0) & ~F.exists(required, lambda p: F.contains(r("n_body"), text.normalize(safe_text(p))))
     return F.array_compact(F.array(
         F.when(F.coalesce(missed, F.lit(False)), "no_required_signal_phrase_matched"),
-        F.when(F.coalesce(weak_forbidden, F.lit(False)) & (F.size(weak) > 0), F.concat(F.lit("weak_signal_assertion:"), F.array_join(weak, ","))),
+        F.when(F.coalesce(r("weak"), F.lit(False)) & (F.size(weak) > 0), F.concat(F.lit("weak_signal_assertion:"), F.array_join(weak, ","))),
     ))
 
 
-def capacity_issues(body: Column, requested: Column, available: Column) -> Column:
+def capacity_issues(r: Row) -> Column:
     """requested: array of (stack, count); available: map of stack to number. A promise beyond what is available is an issue."""
-    b = text.normalize(body)
-    have = lambda stack: F.coalesce(F.try_element_at(available, stack), F.lit(0))
+    have = lambda stack: F.coalesce(F.try_element_at(r("available"), stack), F.lit(0))
     code = lambda kind, stack, n: F.concat(F.lit(f"{kind}_exceeds_bench:"), stack, F.lit(":"), n.cast("string"), F.lit(">"), have(stack).cast("string"))
-    said = F.arrays_zip(F.regexp_extract_all(b, F.lit(CAPACITY), F.lit(1)).alias("n"), F.regexp_extract_all(b, F.lit(CAPACITY), F.lit(2)).alias("s"))
-    over = F.filter(said, lambda x: safe_int(x["n"]) > have(x["s"]))
-    asked = F.filter(F.coalesce(requested, F.array().cast("array<struct<stack:string,count:int>>")), lambda r: safe_int(r["count"]) > have(F.lower(safe_text(r["stack"]))))
-    return F.concat(
-        F.transform(over, lambda x: code("capacity_commitment", x["s"], safe_int(x["n"]))),
-        F.when(F.contains(b, F.lit("we can deliver")), F.transform(asked, lambda r: code("requested_capacity", F.lower(safe_text(r["stack"])), safe_int(r["count"])))).otherwise(F.array().cast("array<string>")),
-    )
+    none = F.array().cast("array<string>")
+    said = F.arrays_zip(F.regexp_extract_all(r("n_body"), F.lit(CAPACITY), F.lit(1)).alias("n"), F.regexp_extract_all(r("n_body"), F.lit(CAPACITY), F.lit(2)).alias("s"))
+    over = F.transform(F.filter(said, lambda x: safe_int(x["n"]) > have(x["s"])), lambda x: code("capacity_commitment", x["s"], safe_int(x["n"])))
+    asked = F.filter(F.coalesce(r("requested"), F.array().cast("array<struct<stack:string,count:int>>")), lambda x: safe_int(x["count"]) > have(F.lower(safe_text(x["stack"]))))
+    return F.concat(over, F.when(F.contains(r("n_body"), F.lit("we can deliver")), F.transform(asked, lambda x: code("requested_capacity", F.lower(safe_text(x["stack"])), safe_int(x["count"])))).otherwise(none))
 
 
-def pricing_issues(body: Column) -> Column:
-    b = text.normalize(body)
+def pricing_issues(r: Row) -> Column:
+    b = r("n_body")
     return F.array_compact(F.array(
         F.when(F.regexp_like(b, F.lit(BIG_SUM)) & F.regexp_like(b, F.lit(SCOPE)), "specific_total_contract_value_quoted"),
-        F.when(F.contains(body, F.lit("30% off")) | F.contains(b, F.lit("discount")), "discount_or_promo_offered"),
+        F.when(F.contains(r("body"), F.lit("30% off")) | F.contains(b, F.lit("discount")), "discount_or_promo_offered"),
     ))
 
 
-def professional_issues(subject: Column, body: Column) -> Column:
-    t = text.normalize(F.concat_ws(" ", subject, body))
-    hype = text.found_in(lexicon.HYPE, t)
+def professional_issues(r: Row) -> Column:
+    hype = r("hype")
     return F.array_compact(F.array(
         F.when(F.size(hype) > 0, F.concat(F.lit("banned_phrases:"), F.array_join(hype, ","))),
-        F.when(F.regexp_like(t, F.lit(r"(?U)\bbench\b")), "external_bench_term_used"),
+        F.when(F.regexp_like(r("n_all"), F.lit(r"(?U)\bbench\b")), "external_bench_term_used"),
     ))
 
 
-def condescending_issues(subject: Column, body: Column) -> Column:
-    found = text.found_in(lexicon.CONDESCENDING, text.normalize(F.concat_ws(" ", subject, body)))
+def condescending_issues(r: Row) -> Column:
+    found = r("condescending")
     return F.array_compact(F.array(F.when(F.size(found) > 0, F.concat(F.lit("condescending_phrases:"), F.array_join(found, ",")))))
 
 
+INPUTS = ("subject", "body", "outreach", "required", "weak", "requested", "available")
+
+
+def _steps() -> list[Callable[[Row], dict[str, Column]]]:
+    """The rubric in steps, each of which names what the next ones use more than once."""
+    return [
+        lambda r: {"subject": safe_text(r("subject")), "body": safe_text(r("body"))} | {k: r(k) for k in INPUTS[2:]},
+        lambda r: {k: r(k) for k in INPUTS} | {"n_subject": text.normalize(r("subject")), "n_body": text.normalize(r("body")), "n_all": text.normalize(F.concat_ws(" ", r("subject"), r("body"))), "words": text.word_count(r("body"))},
+        lambda r: {k: r(k) for k in (*INPUTS, "n_subject", "n_body", "n_all", "words")} | {"asks": count_asks(r("body"), r("n_body")), "claims": text.found_in(lexicon.WEAK_CLAIMS, r("n_body")), "hype": text.found_in(lexicon.HYPE, r("n_all")), "condescending": text.found_in(lexicon.CONDESCENDING, r("n_all"))},
+        lambda r: {"direct": direct_issues(r), "grounded": grounded_issues(r), "honest": F.concat(capacity_issues(r), pricing_issues(r)), "professional": professional_issues(r), "non_condescending": condescending_issues(r)},
+        lambda r: combine({m: r(m) for m in MARKERS}),
+    ]
+
+
 def combine(issues: dict[str, Column]) -> dict[str, Column]:
     """Marker scores, hard violations, percentage and pass from the issues of each marker."""
     points = {m: F.greatest(F.lit(1), 5 - F.size(c)) for m, c in issues.items()}
@@ -100,19 +114,28 @@ def combine(issues: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def issues_of(subject: Column, body: Column, outreach: Column, required: Column, weak_forbidden: Column, requested: Column, available: Column) -> dict[str, Column]:
-    subject, body = safe_text(subject), safe_text(body)
-    return {
-        "direct": direct_issues(subject, body, outreach),
-        "grounded": grounded_issues(body, required, weak_forbidden),
-        "honest": F.concat(capacity_issues(body, requested, available), pricing_issues(body)),
-        "professional": professional_issues(subject, body),
-        "non_condescending": condescending_issues(subject, body),
-    }
+def score(df: DataFrame, keep: list[Column], inputs: dict[str, Column]) -> DataFrame:
+    """Columns ``keep`` and the five results for each row; inputs by the names in INPUTS.
 
+    Steps are projections of their own, so that what is used more than once is evaluated once and stays in generated code.
+    """
+    df = df.select(F.struct(*keep).alias("quern_keep"), *(inputs[k].alias(f"quern_{k}") for k in INPUTS))
+    for i, step in enumerate(_steps()):
+        made = step(lambda k: F.col(f"quern_{k}"))
+        df = df.select("quern_keep", *(c.alias(k if i == 4 else f"quern_{k}") for k, c in made.items()))
+    return df.select("quern_keep.*", *RESULTS)
 
-def score(subject: Column, body: Column, outreach: Column, required: Column, weak_forbidden: Column, requested: Column, available: Column) -> dict[str, Column]:
-    return combine(issues_of(subject, body, outreach, required, weak_forbidden, requested, available))
+
+def score_struct(inputs: dict[str, Column]) -> Column:
+    """The five results as one struct, for texts inside arrays; each step is bound once by a lambda."""
+
+    def bind(value: Column, step: Callable[[Row], dict[str, Column]]) -> Column:
+        return F.transform(F.array(value), lambda x: F.struct(*(c.alias(k) for k, c in step(lambda k: x[k]).items())))[0]
+
+    value = F.struct(*(inputs[k].alias(k) for k in INPUTS))
+    for step in _steps():
+        value = bind(value, step)
+    return value
 
 
 def failed(reason: Column | str) -> dict[str, Column]:
@@ -133,34 +156,33 @@ def evaluate(tasks: DataFrame, output: str | None = None, broken: str | None = N
     output: a column whose subject and body, or JSON or text of them, override candidate_output where it isn't null.
     broken: a boolean column marking rows that couldn't be read; they get ``failed``.
     """
-    i = F.col("input")
-    out = F.col("candidate_output")
+
+    def said(c: str) -> Column:
+        return text.parse_output(F.col(c)) if dict(tasks.dtypes)[c] == "string" else F.struct(safe_text(F.col(f"{c}.subject")).alias("subject"), safe_text(F.col(f"{c}.body")).alias("body"))
+
+    out = said("candidate_output")
     if output:
-        kind = dict(tasks.dtypes)[output]
-        given = text.parse_output(F.col(output)) if kind == "string" else F.struct(safe_text(F.col(f"{output}.subject")).alias("subject"), safe_text(F.col(f"{output}.body")).alias("body"))
-        mine = text.parse_output(out) if dict(tasks.dtypes)["candidate_output"] == "string" else F.struct(safe_text(out["subject"]).alias("subject"), safe_text(out["body"]).alias("body"))
-        out = F.when(F.col(output).isNotNull(), given).otherwise(mine)
-    elif dict(tasks.dtypes)["candidate_output"] == "string":
-        out = text.parse_output(out)
-    stacks = i["bench_summary"]["stacks"]
-    available = F.transform_values(stacks, lambda _, v: v["available_engineers"])
-    r = score(out["subject"], out["body"], i["outreach_type"], F.col("rubric.required_signal_phrases"), F.col("rubric.weak_signal_assertion_forbidden"), i["request_context"]["requested_capacity"], available)
-    if broken:
-        bad = failed("task_parse_error")
-        r = {k: F.when(F.coalesce(F.col(broken), F.lit(False)), bad[k]).otherwise(c) for k, c in r.items()}
-    return tasks.select(safe_text(F.col("task_id"), "unknown_task").alias("task_id"), *(c.alias(k) for k, c in r.items()))
-
-
-def flat_columns(subject: Column, body: Column) -> dict[str, Column]:
-    """Score columns of a text against the flat task (quern.operators.synth) in the same row."""
-    required = F.array(F.regexp_replace("stage", "_", " "), F.col("roles_today").cast("string"))
+        out = F.when(F.col(output).isNotNull(), said(output)).otherwise(out)
+    df = tasks.withColumns({"quern_out": out, "quern_broken": F.coalesce(F.col(broken), F.lit(False)) if broken else F.lit(False)})
+    i = F.col("input")
+    inputs = {
+        "subject": F.col("quern_out.subject"), "body": F.col("quern_out.body"), "outreach": i["outreach_type"], "required": F.col("rubric.required_signal_phrases"), "weak": F.col("rubric.weak_signal_assertion_forbidden"),
+        "requested": i["request_context"]["requested_capacity"], "available": F.transform_values(i["bench_summary"]["stacks"], lambda _, v: v["available_engineers"]),
+    }
+    done = score(df, [safe_text(F.col("task_id"), "unknown_task").alias("task_id"), F.col("quern_broken")], inputs)
+    bad = failed("task_parse_error")
+    return done.select("task_id", *((F.when(F.col("quern_broken"), bad[k]).otherwise(F.col(k)) if broken else F.col(k)).alias(k) for k in RESULTS))
+
+
+def flat_inputs(subject: Column, body: Column) -> dict[str, Column]:
+    """Inputs for a text against the flat task (quern.operators.synth) in the same row."""
     caps = F.map_filter(F.create_map(*(F.lit(x) for kv in AVAILABLE.items() for x in kv)), lambda k, _: (k == F.col("stack")) | k.isin("python", "data"))
-    return score(subject, body, F.col("outreach_type"), required, F.col("weak"), F.array(F.struct("stack", F.col("headcount").alias("count"))), caps)
+    return {"subject": subject, "body": body, "outreach": F.col("outreach_type"), "required": F.array(F.regexp_replace("stage", "_", " "), F.col("roles_today").cast("string")), "weak": F.col("weak"), "requested": F.array(F.struct("stack", F.col("headcount").alias("count"))), "available": caps}
 
 
 def score_flat(flat: DataFrame, subject: str = "subject", body: str = "body", keep: tuple[str, ...] = ("task_id", "source_mode")) -> DataFrame:
     """Scores of flat tasks, with the columns ``keep``."""
-    return flat.select(*keep, *(c.alias(k) for k, c in flat_columns(F.col(subject), F.col(body)).items()))
+    return score(flat, [F.col(k) for k in keep], flat_inputs(F.col(subject), F.col(body)))
 
 
 def sql(source: str, subject: str = "subject", body: str = "body", keep: str = "task_id, source_mode") -> str:
