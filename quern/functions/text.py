@@ -106,6 +106,16 @@ def parse_output(c: Column) -> Column:
     )
 
 
+def parse_candidate(c: Column) -> Column:
+    """Struct (subject, body) of a string column: an object's fields, or those of its candidate_output; else as ``parse_rendered``."""
+    v = whole_json(c)
+    get = lambda path: F.try_variant_get(v, path, "string")
+    top, inner = get("$.subject").isNotNull() & get("$.body").isNotNull(), F.try_variant_get(v, "$.candidate_output", "variant").isNotNull()
+    field = lambda k: F.when(top, get(f"$.{k}")).when(inner, F.coalesce(get(f"$.candidate_output.{k}"), F.lit("")))
+    said = parse_rendered(c)
+    return F.struct(*(F.when(top | inner, field(k)).when(v.isNotNull() | c.isNull(), F.lit("")).otherwise(said[k]).alias(k) for k in ("subject", "body")))
+
+
 def sha_number(c: Column) -> Column:
     """The first 8 hexadecimal digits of SHA-256 as a number."""
     return F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("bigint")

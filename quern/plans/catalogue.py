@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import safe, text
-from quern.operators import overlap, posts, preferences, rubric, selection, splits, stats, synth
+from quern.operators import overlap, posts, preferences, prompts, rubric, selection, splits, stats, synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -481,3 +481,72 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("select arg_min(event_id, value) as best, min(value) as value from events where value is not null")
 def best_by_loss(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").where("value is not null").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best"), F.min("value").alias("value"))
+
+
+# Whole procedures
+
+_ONLY = prompts.ONLY_BODY.replace("'", "''")
+for _k in ("company", "roles_60", "roles_today", "stage"):
+    _ONLY = _ONLY.replace("{" + _k + "}", f"' || {_k} || '")
+_VARIANTS = {
+    "baseline": TASKS,
+    "degraded": f"select * replace (body || '{preferences.TAILS['MTL']}' as body) from ({TASKS})",
+    "prompt_only": f"select * replace ('{prompts.ONLY_SUBJECT}' as subject, '{_ONLY}' as body) from ({TASKS})",
+}
+
+
+def _ablation(spark: SparkSession) -> DataFrame:
+    """(task_id, variant, score, pass, tokens) of three variants of each task."""
+    t = synth.flat_tasks(spark, N)
+    only = prompts.prompt_only(F.col("company"), F.col("roles_60"), F.col("roles_today"), F.col("stage"))
+    made = {"baseline": t, "degraded": t.withColumn("body", F.concat("body", F.lit(preferences.TAILS["MTL"]))), "prompt_only": t.withColumns({"subject": only["subject"], "body": only["body"]})}
+    out = None
+    for v, df in made.items():
+        s = rubric.score_flat(df, keep=("task_id", "body")).select("task_id", F.lit(v).alias("variant"), F.col("aggregate_score_pct").alias("score"), "pass", text.token_estimate(F.col("body")).alias("tokens"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("select variant, count(*) as n, round(avg(pct), 6) as mean_score, round(quantile_cont(pct, 0.5), 6) as median_score, round(avg(pass::int), 6) as pass_rate, round(avg(tokens), 6) as mean_tokens, round(quantile_cont(tokens, 0.5), 6) as median_tokens from ("
+    + " union all ".join(f"select '{v}' as variant, pct, pass, greatest(1, floor(len(regexp_extract_all(body, '\\S+')) * 1.3)) as tokens from ({rubric.sql(q, keep='task_id, body')})" for v, q in _VARIANTS.items())
+    + ") group by variant")
+def ablation_summary(spark: SparkSession, d: str) -> DataFrame:
+    return stats.summarize(_ablation(spark), ["variant"], ["score", "tokens"], "pass")
+
+
+@query()
+def ablation_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Paired bootstrap of prompt_only and degraded against baseline."""
+    a = _ablation(spark)
+    out = None
+    for v in ("prompt_only", "degraded"):
+        b = stats.significant(stats.bootstrap(stats.paired_diffs(a, "task_id", "variant", "score", v, "baseline"), "task_id", 1000, 42)).withColumn("variant", F.lit(v))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+@query(f"with t as ({TASKS}), u as (select task_id, idx as pos from t where idx <= 150 union all select case when idx % 50 = 0 then ' ' else task_id end, idx + 1000 from t where idx > 100), r as (select trim(task_id) as id, pos, row_number() over (partition by trim(task_id) order by pos) as r from u where trim(task_id) <> '') select id as task_id, pos, r - 1 as dropped from r where r = 1")
+def merge_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two overlapping runs as one: the first row of each id stays, blank ids go."""
+    t = synth.flat_tasks(spark, N).select("task_id", "idx")
+    one = t.where("idx <= 150").select("task_id", F.col("idx").alias("pos"))
+    two = t.where("idx > 100").select(F.when(F.col("idx") % 50 == 0, " ").otherwise(F.col("task_id")).alias("task_id"), (F.col("idx") + 1000).alias("pos"))
+    return selection.dedupe(one.unionByName(two), "task_id", "pos").select("task_id", "pos", F.lit(0).cast("bigint").alias("dropped"))
+
+
+@query("select coalesce(source, 'all') as source, coalesce(lang, 'all') as lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by cube (source, lang)")
+def crosstab_margins(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "documents").cube("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return c.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("lang", F.lit("all")).alias("lang"), "n", "chars")
+
+
+@query(f"with j as ({_JUDGED}, idx, source_mode, body from ({TASKS})), k as (select *, least(coalesce(a, 1), coalesce(b, 1), c) >= 4 and gen_family <> 'cheap' as ok from j), p as (select x.task_id as id_a, y.task_id as id_b, x.ok as ok_a, y.ok as ok_b, length(x.body) >= length(y.body) as a_wins, x.idx, x.source_mode from k x join k y on y.idx = x.idx + 1 where x.idx % 2 = 1), w as (select case when a_wins then id_a else id_b end as task_id, source_mode, idx from p where case when a_wins then ok_a else ok_b end) select task_id, source_mode from (select *, row_number() over (partition by source_mode order by idx) as r from w) where r <= 10")
+def synthesis_round(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of candidates: the winner of each, if its judge accepts it, up to ten a mode."""
+    t = synth.flat_tasks(spark, N)
+    said = selection.judge(t.withColumnRenamed("generator", "generator_model"), _responses(t), "Cheap/judge-2").select("task_id", "decision")
+    j = t.select("idx", "task_id", "body", "source_mode").join(said, "task_id")
+    a, b = j.where("idx % 2 = 1"), j.select((F.col("idx") - 1).alias("idx"), F.col("task_id").alias("id_b"), F.col("body").alias("body_b"), F.col("decision").alias("decision_b"))
+    w = a.join(b, "idx").withColumn("winner", selection.pair_winner(F.col("task_id"), F.col("body"), F.col("id_b"), F.col("body_b")))
+    w = w.where(F.when(F.col("winner") == F.col("task_id"), F.col("decision")).otherwise(F.col("decision_b")) == "accept")
+    return selection.accept_quota(w.select(F.col("winner").alias("task_id"), "source_mode", "idx"), "source_mode", "idx", F.lit(10)).select("task_id", "source_mode")

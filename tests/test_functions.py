@@ -28,6 +28,19 @@ def test_text(spark):
     assert tuple(one(spark, "[1]", text.parse_output)) == ("", "") and tuple(one(spark, "plain", text.parse_output)) == ("", "plain")
 
 
+def test_candidates_and_prompts(spark):
+    from quern.operators import prompts, synth
+
+    for given, want in [('{"subject": "s", "body": "b"}', ("s", "b")), ('{"candidate_output": {"body": "b"}}', ("", "b")), ("Subject: s\nBody: b", ("s", "b")), ("text", ("", "text")), ("[1]", ("", "")), ('{"a": 1}', ("", "")), ('{"a": 1} tail', ("", '{"a": 1} tail')), (None, ("", ""))]:
+        assert tuple(one(spark, given, text.parse_candidate)) == want
+    assert one(spark, "hi", lambda c: prompts.chatml(("user", c))) == "<|im_start|>user\nhi<|im_end|>\n"
+    t = synth.tasks(spark, 3)
+    p = t.select(prompts.task_prompt(F.col("input"), tuple(t.schema["input"].dataType.names))).first()[0].split("\n")
+    assert p[0] == prompts.ASK and len(p) == 5 and p[2].startswith('hiring_signal_brief: {"prospect_name"')
+    assert one(spark, None, lambda c: prompts.prompt_only(c, c, c, c)["body"]).startswith("Hello there, open roles went from N/A")
+    assert "Phrases:  a, b" in one(spark, "x", lambda c: prompts.revision_prompt(c, c, c, F.lit(5), F.array(F.lit(" a"), F.lit(""), F.lit("b"))))
+
+
 def test_safe(spark):
     assert [one(spark, v, safe.safe_int) for v in ("3", "3.7", "x", None)] == [3, 0, 0, 0]
     assert one(spark, 3.9, safe.safe_int, "double") == 3
