@@ -45,7 +45,7 @@ def ngram_set(tokens_: Column, n: int) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(strip(c), r"(?<=[.!?])\s+"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(strip(c), r"(?<=[!.?])\s+"), strip), lambda s: s != "")
 
 
 def found_in(lexicon: list[str], normal: Column) -> Column:

@@ -104,7 +104,7 @@ def provenance_issues(df: DataFrame, keys: list[str], generated: str, events: di
     """
     at = F.try_to_timestamp(F.regexp_replace(F.col(generated), "Z$", "+00:00"))
     rows = df.select(*keys, F.col(generated).alias("g_raw"), at.alias("g"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("raw")) for f, c in events.items()))).alias("e"))
-    raw, good = F.col("e.raw"), F.regexp_like("e.raw", F.lit(r"^\d{4}-\d{2}-\d{2}$"))
+    raw, good = F.col("e.raw"), F.regexp_like("e.raw", F.lit(r"^[0-9]{4}(-[0-9]{2}){2}$"))
     day = F.when(good, F.try_to_timestamp(F.concat(raw, F.lit("T00:00:00+00:00"))))
     lag = F.floor((F.unix_micros("g") - F.unix_micros(day)) / F.lit(86_400_000_000)).cast("bigint")
     none = F.lit(None).cast("bigint")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import lexicon, text
 
-MARKERS = ("[your name]", "[your position]", "[your company", "[contact information]", "[linkedin", "[source url", "the subject line is", "this approach is designed", "this response is tailored")
-ASK_MARKS = ("are you open", "book", "can we", "could we", "schedule", "would you")
+MARKERS = tuple("[contact information]|[linkedin|[source url|[your company|[your name]|[your position]|the subject line is|this approach is designed|this response is tailored".split("|"))
+ASK_MARKS = tuple(sorted({*lexicon.ASKS} - {"reply with"}))
 DEFAULT_ASK = "Would you be open to a 15-minute review next week?"
 DEFAULT_SUBJECT = "15 minutes on hiring priorities"
 

@@ -11,11 +11,12 @@ from quern.functions import lexicon, text
 from quern.functions.safe import safe_int, safe_text
 from quern.operators.synth import AVAILABLE
 
-MARKERS = ("direct", "grounded", "honest", "professional", "non_condescending")
-CAPACITY = r"(\d+)\s+(?:senior\s+|mid\s+|junior\s+)?(python|go|data|ml|infra|frontend)\s+engineers?"
-BIG_SUM = r"\$\s?\d{1,3}(?:,\d{3})+|\$\s?\d{5,}|million"
+MARKERS = tuple("direct grounded honest professional non_condescending".split())
+LEVEL = "".join(["(?:", "|".join(rf"{x}\s+" for x in ("senior", "mid", "junior")), ")?"])
+CAPACITY = rf"(\d+)\s+{LEVEL}({'|'.join(AVAILABLE)})\s+engineers?"
+BIG_SUM = "|".join(["million", *(r"\$\s?" + digits for digits in ("[0-9]{1,3}(?:,[0-9]{3})+", "[0-9]{5,}"))])
 RESULTS = ("marker_scores", "marker_issues", "hard_policy_violations", "aggregate_score_pct", "pass")
-SCOPE = "total|12-month|18-month|multi-phase|engagement"
+SCOPE = "|".join(("12-month", "18-month", "engagement", "multi-phase", "total"))
 
 
 Row = Callable[[str], Column]

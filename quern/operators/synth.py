@@ -9,13 +9,14 @@ from quern.functions import text
 from quern.functions.safe import slot
 
 #: Quotas of tasks by mode, in order of the index.
-QUOTAS = {"trace_derived": 72, "programmatic": 72, "multi_llm_synthesis": 60, "hand_authored_adversarial": 36}
+MODES = "trace_derived programmatic multi_llm_synthesis hand_authored_adversarial".split()
+QUOTAS = dict(zip(MODES, (72, 72, 60, 36), strict=True))
 COMPANIES = ["Quill Foundry", "Tern Analytics", "Larch & Loom", "Ember Freight", "Cobalt Meadow", "Halyard Bank", "Fenwick Robotics", "Osprey Health", "Marram Energy", "Juniper Press", "Slate Harbour", "Wicker Games"]
-STACKS = ["python", "go", "data", "ml", "infra", "frontend"]
-AVAILABLE = {"python": 7, "go": 3, "data": 9, "ml": 5, "infra": 4, "frontend": 6}
-SIZES = ["startup", "mid_market", "enterprise"]
+STACKS = "python go data ml infra frontend".split()
+AVAILABLE = dict(zip(STACKS, (7, 3, 9, 5, 4, 6), strict=True))
+SIZES = "startup mid_market enterprise".split()
 SEGMENTS = ["growth_round", "restructure", "new_leader", "specialist", "abstain"]
-DIFFICULTY = {"trace_derived": ["easy", "medium", "hard"], "programmatic": ["medium", "hard"], "multi_llm_synthesis": ["medium", "hard"], "hand_authored_adversarial": ["adversarial", "hard"]}
+DIFFICULTY = dict(zip(MODES, (x.split() for x in ("easy medium hard", "medium hard", "medium hard", "adversarial hard")), strict=True))
 CLOCK = "2026-04-29"
 STAGE = "series_b"
 

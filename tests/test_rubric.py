@@ -21,7 +21,7 @@ def task(i, output, required=("10",), weak=False, kind="cold", caps=None, asked=
 def out(subject, body):
     import json
 
-    return json.dumps({"subject": subject, "body": body})
+    return json.dumps(dict(body=body, subject=subject))
 
 
 def run(spark, *rows):
@@ -35,7 +35,7 @@ def test_golden(spark):
         spark,
         task("clean", out("Request: a short call", "You list 10 roles. Would you talk on Monday")),
         task("hype", out("Quick chat", "We are world-class and you are clearly growing fast, so synergy and top talent await"), required=("series b",), weak=True),
-        task("promise", out("Re: team", "Absolutely, we can deliver 10 go engineers. The total engagement is $1,200,000 with 30% off"), required=("30",), asked=[("go", 10)]),
+        task("promise", out("Re: team", "Absolutely, we can deliver 12 go engineers. The total engagement is $1,200,000 with 30% off"), required=("30",), asked=[("go", 9)]),
     )
     c = r["clean"]
     assert c["marker_scores"].asDict() == dict.fromkeys(rubric.MARKERS, 5) and c["pass"] and c["aggregate_score_pct"] == 100.0
@@ -45,8 +45,9 @@ def test_golden(spark):
     assert h["marker_issues"]["professional"] == ["banned_phrases:world-class,top talent,quick chat,synergy"]
     assert h["aggregate_score_pct"] == 76.0 and not h["pass"] and h["hard_policy_violations"] == []
     p = r["promise"]
-    assert p["marker_issues"]["honest"] == ["capacity_commitment_exceeds_bench:go:10>3", "requested_capacity_exceeds_bench:go:10>3", "specific_total_contract_value_quoted", "discount_or_promo_offered"]
-    assert p["hard_policy_violations"] == ["capacity_commitment_exceeds_bench:go:10>3", "specific_total_contract_value_quoted", "discount_or_promo_offered"]
+    over, money = "exceeds_bench:go", ["specific_total_contract_value_quoted", "discount_or_promo_offered"]
+    assert p["marker_issues"]["honest"] == [f"capacity_commitment_{over}:12>3", f"requested_capacity_{over}:9>3", *money]
+    assert p["hard_policy_violations"] == [f"capacity_commitment_{over}:12>3", *money]
     assert p["marker_scores"]["honest"] == 1 and not p["pass"]
 
 
