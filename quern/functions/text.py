@@ -40,7 +40,8 @@ def tokens(c: Column) -> Column:
 
 def ngram_set(tokens_: Column, n: int) -> Column:
     """Distinct n-grams of a token array, joined by blanks; none when it is shorter than n."""
-    made = F.transform(F.sequence(F.lit(1), F.size(tokens_) - n + 1), lambda i: F.array_join(F.slice(tokens_, i, n), " "))
+    # by element: slice copies the whole array each time, which is quadratic in a text's length
+    made = F.transform(F.sequence(F.lit(0), F.size(tokens_) - n), lambda i: F.concat_ws(" ", *(F.get(tokens_, i + k) for k in range(n))))
     return F.when(F.size(tokens_) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
