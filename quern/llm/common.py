@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 
 _written: list[str] = []
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +44,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     Joins with it are broadcast only below ``spark.sql.autoBroadcastJoinThreshold``, checked by Spark against that size.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")  # the write's shuffle files go when it ends: nothing reads them again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
