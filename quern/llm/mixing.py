@@ -59,6 +59,23 @@ def calibrate(tokens: np.ndarray, factor: np.ndarray, budget: float) -> np.ndarr
     return np.minimum(1.0, (t[ok[0]] if len(ok) else np.inf) * factor)
 
 
+def feasible_keep(tokens: np.ndarray, factor: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], keep: float, tolerance: float) -> float:
+    """The largest share of tokens, at most ``keep``, found by bisection at which each margin's expected shares are within
+    ``tolerance`` of their targets. At 1 / max(factor) no probability is clipped, so the shares are the raked ones."""
+
+    def near(k: float) -> bool:
+        drawn = calibrate(tokens, factor, k * tokens.sum()) * tokens
+        return all(np.abs(np.bincount(c, weights=drawn, minlength=len(t)) / drawn.sum() - t).max() <= tolerance for c, t in zip(codes, targets, strict=True))
+
+    if near(keep):
+        return keep
+    low, high = min(keep, 1 / factor.max()), keep
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (mid, high) if near(mid) else (low, mid)
+    return low
+
+
 def _plan(cells: pd.DataFrame, p: dict) -> pd.DataFrame:
     cells = cells.sort_values(list(MARGINS)).reset_index(drop=True)
     tokens = cells["tokens"].to_numpy(dtype=np.int64)
@@ -72,7 +89,8 @@ def _plan(cells: pd.DataFrame, p: dict) -> pd.DataFrame:
         targets.append(goal / goal.sum())
     raked = rake(tokens, codes, targets, p["rounds"])
     factor = raked * total / tokens
-    prob = calibrate(tokens, factor, p["keep"] * total)
+    keep = p["keep"] if p.get("tolerance") is None else feasible_keep(tokens, factor, codes, targets, p["keep"], p["tolerance"])
+    prob = calibrate(tokens, factor, keep * total)
     return cells[list(MARGINS)].assign(target=raked / raked.sum(), prob=prob)
 
 
@@ -112,6 +130,10 @@ def mix(docs: DataFrame, **params: object) -> DataFrame:
     A null source or language is a value of its own, '(none)'. Texts that are null or have no token are in no drawn cell
     unless others of the cell have tokens; they then share its probability. A row's number in [0, 1) comes from its doc_id (its text
     where that is null), so repeated rows stay or go together. An empty table gives no rows.
+
+    With ``tolerance`` the budget is the largest, up to ``keep``, at which every margin is expected within that of its
+    target (or, where raking itself doesn't come that near, at which nothing is clipped). Without it the budget is ``keep``
+    and clipped cells leave margins off their targets.
     """
     return _drawn(docs, PARAMS | params).select("quern_row.*")
 

@@ -83,3 +83,17 @@ def test_edges(spark, table):
     assert got.columns == docs.columns
     assert got.where("text is not null and text <> ''").count() == sum(bool(t) for _, t, *_ in EDGES)
     assert mixing.mix(spark.read.parquet(table([]))).count() == 0 and mixing.mix_plan(spark.read.parquet(table([]))).count() == 0
+
+
+def test_tolerance_reaches_targets_on_a_hot_source(spark, table):
+    """Shares of the tokens really drawn, against the targets, where one source holds most tokens."""
+    rows = [(i, " ".join(["w"] * (20 if i % 10 else 7)) + (" ###" if i % 11 == 0 else ""), ["en", "de", "en"][i % 3], "hot" if i % 10 else f"s{i // 10 % 4}") for i in range(20_000)]
+    docs = spark.read.parquet(table(rows))
+    _, _, (_, goals) = brute(rows, mixing.PARAMS)
+
+    def off(**params):
+        got = mixing.mix_plan(docs, **params).toPandas()
+        return max(abs(got.loc[got[m] == k, "n_tokens"].sum() / got["n_tokens"].sum() - v) for m, goal in zip(mixing.MARGINS, goals, strict=True) for k, v in goal.items())
+
+    assert off() > 0.05
+    assert off(tolerance=0.01) < 0.025
