@@ -3,6 +3,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 from quern.llm import sharding
@@ -58,6 +59,32 @@ def test_reshard_moves_fewest_bytes(spark, table):
     assert all(r["quern_rewritten"] == (r["quern_to"] in changed) for r in rows)
 
 
+def test_shards_stay_within_their_bytes(spark, table):
+    """A hot source and very long documents, through the query's parameters."""
+    r = random.Random(9)
+    rows = [(i, "x" * (r.randint(40_000, 60_000) if i % 97 == 0 else r.randint(1, 2000)), "en", "hot" if i % 5 < 2 else f"s{i % 31:02}") for i in range(6000)]
+    got = sharding.place(spark.read.parquet(table(rows))).select("doc_id", "text", "source", "old_shard", "new_shard").collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(6000))
+    n, slack = sharding.PARAMS["n_shards"], sharding.PARAMS["slack"]
+    cap = (1 + slack) * sum(len(x["text"]) for x in got) / n
+    before, after, moved = {}, {}, 0
+    for x in got:
+        before[x["old_shard"]] = before.get(x["old_shard"], 0) + len(x["text"])
+        after[x["new_shard"]] = after.get(x["new_shard"], 0) + len(x["text"])
+        moved += len(x["text"]) * (x["old_shard"] != x["new_shard"])
+    assert max(after.values()) <= math.ceil(cap) and set(after) <= set(range(n))
+    # no plan moves less than what old shards have over the capacity
+    least = sum(b if i >= n else max(0, b - cap) for i, b in before.items())
+    assert least <= moved <= least + len(before) * slack * cap
+
+
+def test_block_larger_than_a_share():
+    """One block over an even share: it sets the capacity, and all else fits."""
+    shard, size = np.array([0, 0, 0, 1, 1]), np.array([1000, 10, 10, 10, 0])
+    to, cap = sharding.pack_blocks(shard, size, 2, 4, 0.02)
+    assert cap == 1000 and max(np.bincount(to, weights=size, minlength=4)) == 1000
+
+
 def test_edges(spark, table):
     docs = spark.read.parquet(table(EDGES))
     got = sharding.place(docs, n_shards=3)
