@@ -27,6 +27,17 @@ def test_overlap_and_cosine(spark):
     assert got == {(i, j) for i, u in vecs[:60] for j, v in vecs[:60] if cos(u, v) >= 0.8}
 
 
+def test_embedding_pairs_compare_every_vector(spark, tmp_path):
+    """Pairs within the multiples of five, within the others, and across."""
+    from quern.plans import catalogue
+
+    unit = lambda *k: [1.0 if i in k else 0.0 for i in range(8)]
+    rows = [(5, unit(0)), (10, unit(0)), (1, unit(1)), (2, unit(1)), (15, unit(2)), (3, unit(2)), (4, unit(3)), (20, unit(4))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, catalogue.embedding_cosine_pairs(spark, str(tmp_path)).collect()))
+    assert got == [(1, 2, 1.0), (3, 15, 1.0), (5, 10, 1.0)]
+
+
 def test_provenance_edges(spark):
     rows = [(1, "2026-01-01T00:00:00Z", "YYYY-MM-DD"), (2, "2026-01-01T00:00:00", "2025-02-31"), (3, "2026-01-01T00:00:00+00:00", "2026-01-02"), (4, "2026-01-01T00:00:00Z", "2024-01-02"), (5, "2026-01-01T23:00:00Z", "2024-01-01"), (6, "soon", "2024-01-01"), (7, "2026-01-01T00:00:00Z", None)]
     df = spark.createDataFrame(rows, "id int, g string, d string")
