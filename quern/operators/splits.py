@@ -63,3 +63,47 @@ def seed_search(df: DataFrame, key: Column, seeds: int, leak: str, shares: tuple
     spread = placed.join(keyed, "key").groupBy("seed", "leak").agg((F.max((F.col("split") == "held_out").cast("int")) * F.max((F.col("split") != "held_out").cast("int"))).alias("both"))
     scored = spread.groupBy("seed").agg(F.sum("both").alias("max_shared")).withColumn("passed", F.col("max_shared") == 0)
     return scored.orderBy(F.desc("passed"), "max_shared", "seed").limit(1).select("seed", "passed", "max_shared")
+
+
+def report_search(tasks: DataFrame, key: Column, id_: str, pos: str, body: Column, vectors, seeds: int, n: int = 8, threshold: float = 0.85, issues: DataFrame | None = None, shares: tuple[float, float] = SHARES) -> DataFrame:
+    """(seed, passed, max_shared, max_cosine) of every seed's split, rebalanced as in ``grouped_split``.
+
+    Shared n-grams and cosines are of pairs of rows, whatever the split, so they are found once; a seed's are the greatest
+    over the pairs of which one row is in its held_out and the other isn't. passed: no shared n-gram, cosine under the
+    threshold, and no row in ``issues`` (faults that don't depend on the split). vectors: ``overlap.term_vectors`` or
+    ``overlap.hash_vectors``.
+    """
+    from quern.operators import overlap
+
+    rows = tasks.select(F.col(id_).alias("id"), F.col(pos).alias("pos"), key.alias("key"), body.alias("text"))
+    a, b = rows.select(F.col("id").alias("a"), "text"), rows.select(F.col("id").alias("b"), "text")
+    grams = overlap.ngram_overlap(a, b, n, "a", "b").where("a < b")
+    cosine = overlap.sparse_cosine(vectors(a, "a"), vectors(b, "b"), "a", "b").where("a < b")
+    pairs = grams.join(cosine, ["a", "b"], "full").na.fill(0, ["shared"]).na.fill(0.0, ["cosine"])
+
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"))
+    tried = tasks.sparkSession.range(seeds).select(F.col("id").cast("int").alias("seed"))
+    placed = first_fit(tried.crossJoin(groups).withColumn("ord", drawn(F.col("seed"), F.col("key"))), ["seed"], shares).join(rows.select("id", "pos", "key"), "key")
+    by = Window.partitionBy("seed")
+    count = lambda split: F.count_if(F.col("split") == split).over(by)
+    total = F.count("*").over(by)
+    need = (F.floor(total * shares[0]) - count("train")) + (F.floor(total * shares[1]) - count("dev"))
+    back = F.row_number().over(Window.partitionBy("seed", "split").orderBy(F.desc("ord"), F.desc("key"), F.desc("pos")))
+    held = placed.withColumn("need", need).withColumn("back", back).where("split = 'held_out' and back > need")
+    # the seeds of which just one row of the pair is held out
+    of = held.groupBy("id").agg(F.collect_set("seed").alias("seeds"))
+    seeds_of = lambda x: of.select(F.col("id").alias(x), F.col("seeds").alias(f"s_{x}"))
+    some = lambda x: F.coalesce(f"s_{x}", F.array().cast("array<int>"))
+    crossing = pairs.join(seeds_of("a"), "a", "left").join(seeds_of("b"), "b", "left").withColumn("seed", F.explode(F.array_union(F.array_except(some("a"), some("b")), F.array_except(some("b"), some("a")))))
+    worst = crossing.groupBy("seed").agg(F.max("shared").alias("max_shared"), F.max("cosine").alias("max_cosine"))
+    out = tried.join(worst, "seed", "left").na.fill(0, ["max_shared"]).na.fill(0.0, ["max_cosine"])
+    sound = F.lit(True) if issues is None else F.col("quern_issues") == 0
+    if issues is not None:
+        out = out.crossJoin(issues.agg(F.count("*").alias("quern_issues")))
+    return out.select("seed", ((F.col("max_shared") < 1) & (F.col("max_cosine") < threshold) & sound).alias("passed"), "max_shared", F.round("max_cosine", 6).alias("max_cosine"))
+
+
+def best_seed(rated: DataFrame) -> DataFrame:
+    """The row of the first seed that passed; if none did, of the fewest shared n-grams, then the lowest cosine, then the smallest seed."""
+    late = lambda c: F.when(~F.col("passed"), F.col(c))
+    return rated.orderBy(F.desc("passed"), late("max_shared"), late("max_cosine"), "seed").limit(1)

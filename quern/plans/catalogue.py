@@ -296,7 +296,9 @@ def rebalanced_split(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def seed_search(spark: SparkSession, d: str) -> DataFrame:
     t = synth.flat_tasks(spark, N)
-    return splits.seed_search(t, splits.similarity_key("domain", "segment", "stack", "headcount", "outreach_type"), 32, "company_size")
+    key = splits.similarity_key("domain", "segment", "stack", "headcount", "outreach_type")
+    issues = overlap.provenance_issues(t, ["task_id"], "generated_at", EVENTS)
+    return splits.best_seed(splits.report_search(t, key, "task_id", "idx", overlap.fingerprint(t), overlap.term_vectors, 300, issues=issues))
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")

@@ -57,6 +57,34 @@ def test_splits(spark):
     assert best["passed"] and best["seed"] == 0
 
 
+def test_report_search_against_brute_force(spark):
+    """Every seed's rating against the split and the contamination report made one seed at a time."""
+    r = random.Random(3)
+    rows = [(i, f"g{i % 17}", " ".join(r.choice("abcd") for _ in range(12))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g string, text string")
+    rated = splits.report_search(df, F.col("g"), "id", "id", F.col("text"), overlap.term_vectors, 4, n=4)
+    got = {x["seed"]: (x["max_shared"], x["max_cosine"], x["passed"]) for x in rated.collect()}
+    grams = lambda t: {tuple(t.split()[i : i + 4]) for i in range(9)}
+    count = lambda t: [t.split().count(c) for c in "abcd"]
+    cos = lambda u, v: sum(x * y for x, y in zip(u, v, strict=True)) / math.sqrt(sum(x * x for x in u) * sum(x * x for x in v))
+    for seed in range(4):
+        placed = splits.grouped_split(df, F.col("g"), "id", seed).collect()
+        held, ref = ([x["text"] for x in placed if (x["split"] == "held_out") == h] for h in (True, False))
+        assert len(held) == 12
+        shared, near = max(len(grams(u) & grams(v)) for u in held for v in ref), max(cos(count(u), count(v)) for u in held for v in ref)
+        assert got[seed] == (shared, round(near, 6), False)
+    rated = spark.createDataFrame([(0, False, 1, 0.2), (1, True, 0, 0.8), (2, True, 0, 0.1)], "seed int, passed boolean, max_shared int, max_cosine double")
+    assert splits.best_seed(rated).first()["seed"] == 1
+    assert splits.best_seed(rated.select("seed", F.lit(False).alias("passed"), "max_shared", "max_cosine")).first()["seed"] == 2
+
+
+def test_seed_search_query_rates_by_the_report(spark):
+    from quern.plans import catalogue
+
+    row = catalogue.seed_search(spark, "").first()
+    assert set(row.asDict()) == {"seed", "passed", "max_shared", "max_cosine"} and 0 <= row["seed"] < 300
+
+
 def test_stats(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.0), ("b", "x", 3.0), ("b", "y", 1.0), ("c", "x", 5.0)], "k string, v string, s double")
     d = stats.paired_diffs(df, "k", "v", "s", "x", "y")
