@@ -39,16 +39,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends, and Spark knows its true size.
 
+    by: a column whose values become folders.
+
     Joins with it are broadcast only below ``spark.sql.autoBroadcastJoinThreshold``, checked by Spark against that size.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")  # the write's shuffle files go when it ends: nothing reads them again
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
     return spark.read.schema(df.schema).parquet(path)

@@ -237,10 +237,22 @@ def reshard(docs: DataFrame, by: str = PARAMS["by"], n_shards: int = PARAMS["n_s
     return out.withColumn("quern_to", to).withColumn("quern_rewritten", F.col("quern_to").isin(changed) if changed else F.lit(False))
 
 
+def resharded(docs: DataFrame, **params: object) -> DataFrame:
+    """``reshard`` carried out: its rows, those of affected new shards read from new files.
+
+    Whole rows of affected shards are written to the shared folder, one folder a new shard (quern_to=K), without a shuffle of
+    text. Rows of other shards stay in the files that ``docs`` reads and are read from there.
+    """
+    placed = reshard(docs, **(PARAMS | params))
+    names = [c for c in placed.columns if c != "quern_rewritten"]
+    new = common.written(placed.where("quern_rewritten").select(*names), "resharded", by="quern_to").select(*names)
+    return new.withColumn("quern_rewritten", F.lit(True)).unionByName(placed.where("not quern_rewritten"))
+
+
 def place(docs: DataFrame, **params: object) -> DataFrame:
-    """``docs`` with columns old_shard and new_shard after its own; an own column of such a name is left out."""
+    """``docs`` with columns old_shard and new_shard after its own, as ``resharded`` leaves them; an own column of such a name is left out."""
     names = [c for c in docs.columns if c not in ("old_shard", "new_shard")]
-    return reshard(docs.select(*(f"`{c}`" for c in names)), **(PARAMS | params)).select("quern_row.*", F.col("quern_shard").alias("old_shard"), F.col("quern_to").alias("new_shard"))
+    return resharded(docs.select(*(f"`{c}`" for c in names)), **params).select("quern_row.*", F.col("quern_shard").alias("old_shard"), F.col("quern_to").alias("new_shard"))
 
 
 def rewrite(spark: SparkSession, src: str, dst: str, **params: object) -> list[int]:
@@ -269,5 +281,5 @@ def rewrite(spark: SparkSession, src: str, dst: str, **params: object) -> list[i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return reshard(docs, **PARAMS).select("quern_row.doc_id", "quern_row.source", F.col("quern_shard").alias("old_shard"), F.col("quern_block").alias("block"), F.col("quern_to").alias("new_shard"), (F.col("quern_to") != F.col("quern_shard")).alias("moved"), F.col("quern_rewritten").alias("rewritten"))
+    docs = common.table(spark, sf_dir, "documents")
+    return resharded(docs).select("quern_row.doc_id", "quern_row.source", F.col("quern_shard").alias("old_shard"), F.col("quern_block").alias("block"), F.col("quern_to").alias("new_shard"), (F.col("quern_to") != F.col("quern_shard")).alias("moved"), F.col("quern_rewritten").alias("rewritten"))

@@ -105,3 +105,20 @@ def test_rewrite_leaves_unaffected_files(spark, tmp_path):
     same = [i for i in range(4) if i not in affected]
     assert 0 in affected and same
     assert all(names(src, f"old_shard={i}") == names(dst, f"shard={i}") for i in same)
+
+
+def test_query_writes_affected_shards(spark, tmp_path):
+    """The query's rewritten rows come, whole, from files of their new shard; the others stay where they are."""
+    from quern.llm import common
+
+    rows = [(i, "x" * (1 + i % 300), "en", "a" if i % 10 < 3 else f"s{i % 23:02}", i % 300) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    common.release(spark)
+    got = sharding.query(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000))
+    assert any(r["moved"] for r in got) and not all(r["rewritten"] for r in got)
+    (where,) = [p for p in common._written if "quern-resharded-" in p]
+    files = {}
+    for r in spark.read.parquet(where).select("quern_row.*", "quern_to").collect():
+        files[r["doc_id"]] = (r["quern_to"], tuple(r)[:5])
+    assert files == {r["doc_id"]: (r["new_shard"], rows[r["doc_id"]]) for r in got if r["rewritten"]}
