@@ -37,6 +37,47 @@ TEMPLATES = {
     "ISC": """Permission to use, copy, modify, and [[/or]] distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies""",
 }
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: {{mark|0|1}} Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. {{mark|0|1}} Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """ {{mark|0|1}} Neither the name of {{holder|1|12}} nor the names of {{its|1|2}} contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission."""
+_BSD_END = """ THIS SOFTWARE IS PROVIDED BY {{holders|1|12}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        {{holders|1|12}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+        LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+_GNU = """is free software[[:]] you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as
+        published by the Free Software Foundation[[,]] [[either]] version {{{{version|1|1}}}} of the License [[, or (at your option) any later version]].
+        {{{{name|1|6}}}} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details"""
+#: What the query looks for beside TEMPLATES, which its SQL is made from; of one name, the template here is the one used.
+TEXTS = {
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + _BSD_NAMES + _BSD_END,
+    "GPL-header": _GNU.format(kind=""),
+    "LGPL-header": _GNU.format(kind="Lesser"),
+    "AGPL-header": _GNU.format(kind="Affero"),
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at {{scheme|1|1}}://mozilla.org/MPL/2.0""",
+    "CC0-1.0-notice": "To the extent possible under law, {{person|1|12}} waived all copyright and related or neighboring rights to",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software
+        dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the
+        public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+        relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+        USE OR OTHER DEALINGS IN THE SOFTWARE""",
+    "ISC": TEMPLATES["ISC"] + """. THE SOFTWARE IS PROVIDED "AS IS" AND {{author|1|8}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{author|1|8}} BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+        ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE""",
+}
 MARKUP = re.compile(r"(\[\[|\]\]|\{\{[^|{}]*\|\d+\|\d+\}\})")
 
 
@@ -147,7 +188,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     the longest. Repeated rows and null doc_ids give rows of their own; other columns are ignored. An empty table gives no
     rows, and so do no templates. Whole texts of any length are scanned. One narrow stage: no shuffle.
     """
-    scanner = Scanner(TEMPLATES if templates is None else templates)
+    scanner = Scanner(TEMPLATES | TEXTS if templates is None else templates)
     hit = F.lit(False)
     for w in scanner.anchors:
         hit = hit | F.contains(F.col("quern_low"), F.lit(w))
