@@ -525,7 +525,7 @@ def ablation_deltas(spark: SparkSession, d: str) -> DataFrame:
     a = _ablation(spark)
     out = None
     for v in ("prompt_only", "degraded"):
-        b = stats.significant(stats.bootstrap(stats.paired_diffs(a, "task_id", "variant", "score", v, "baseline"), "task_id", 1000, 42)).withColumn("variant", F.lit(v))
+        b = stats.significant(stats.bootstrap(stats.paired_diffs(a, "task_id", "variant", "score", v, "baseline"), "task_id", 5000, 42)).withColumn("variant", F.lit(v))
         out = b if out is None else out.unionByName(b)
     return out
 

@@ -95,6 +95,15 @@ def test_stats(spark):
     assert (none["n"], none["mean_diff"], none["p_one"], none["p_two"], none["significant"]) == (0, 0.0, 1.0, 1.0, False)
 
 
+def test_ablation_deltas_take_the_reference_s_resamples(spark, monkeypatch):
+    from quern.plans import catalogue
+
+    rounds, real = [], stats.bootstrap
+    monkeypatch.setattr(stats, "bootstrap", lambda d, key, n, seed: rounds.append(n) or real(d, key, n, seed))
+    catalogue.ablation_deltas(spark, "")
+    assert rounds == [5000, 5000]
+
+
 def test_selection(spark):
     df = spark.createDataFrame([(1, " a", "x"), (2, "a ", "y"), (3, "", "z"), (4, None, "w"), (5, "b", "v")], "pos int, k string, v string")
     assert sorted(r["v"] for r in selection.dedupe(df, "k", "pos").collect()) == ["v", "x"]
