@@ -21,13 +21,15 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Unset, it is a folder of our own in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it has to name a folder that all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
     spark.sparkContext.setCheckpointDir(base)
     return base
@@ -53,7 +55,15 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quern_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables from ``written`` that nothing reads any more."""
+    for t in tables:
+        release(t.sparkSession, [t.quern_path])
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
@@ -78,7 +88,13 @@ def packed(docs: DataFrame) -> Column:
 ROW_BITS = 36
 
 
-def addressed(docs: DataFrame, label: str = "docs") -> tuple[DataFrame, dict[str, int]]:
+class Files(dict):
+    """Number of each file by its path; ``bytes``: the size of them all."""
+
+    bytes = 0
+
+
+def addressed(docs: DataFrame, label: str = "docs") -> tuple[DataFrame, Files]:
     """Rows that can be named: the frame itself if it reads files, else a written copy; and a number for each file.
 
     A row's address is ``file number << 36 | row in the file``: the same however the scan is split, so it holds when
@@ -88,8 +104,10 @@ def addressed(docs: DataFrame, label: str = "docs") -> tuple[DataFrame, dict[str
         docs.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
         docs = written(docs, label)
-    paths = [r[0] for r in docs.select("_metadata.file_path").distinct().collect()]
-    return docs, {p: i for i, p in enumerate(sorted(paths))}
+    sizes = {r[0]: r[1] for r in docs.select("_metadata.file_path", "_metadata.file_size").distinct().collect()}
+    files = Files((p, i) for i, p in enumerate(sorted(sizes)))
+    files.bytes = sum(sizes.values())
+    return docs, files
 
 
 def addresses(files: dict[str, int], paths: pa.Array, rows: pa.Array) -> np.ndarray:

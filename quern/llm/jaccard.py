@@ -1,23 +1,31 @@
 """Jaccard self-join of documents by their sets of word n-grams, with prefixes of token combinations.
 
 The tokens of the join are n-grams, as 64-bit hashes. Over all documents, exact document frequencies put them in one
-global order, rarest first. Let a set have n tokens and need at least o = ceil(t * n) of them in common with any partner.
-Tokens of frequency up to ``rare`` are class 1 and are indexed singly; more frequent ones are class 2 and are indexed by
-pairs. A prefix of single tokens would be n - o + 1 long; it is extended until P - min(n2, 1) >= n - o + 1, where n2 of its
-P tokens are of class 2: two sets that reach the threshold then share a class-1 token or two class-2 tokens of their
-prefixes. Sets too small for the extension, and all that could pair with them, are indexed singly as well. Candidates are
-verified on their full sets. The join is exact: nothing is capped or sampled.
+global order, rarest first, and in classes: rare ones are class 1 and are indexed singly, more frequent ones are class 2 and
+are indexed by pairs, the most frequent ones class 3, by triples. Let a set have n tokens and need at least o of them in common
+with any partner. A prefix of single tokens would be n - o + 1 long; it is extended until
+P - min(n2, 1) - min(n3, 2) >= n - o + 1, where n2 and n3 of its P tokens are of class 2 and 3: of two sets that reach the
+threshold, the one whose prefix ends first has that many tokens of it in common with the other, so that they share a class-1
+token, two of class 2 or three of class 3.
+
+Combinations are many in large sets, so the largest size of combination depends on a set's size (``tiers``) and, as the extension
+must fit in the set, on its overlap. A pair is found by the scheme of its larger set: a set is indexed by the scheme of
+every size that a larger partner can have, which is one or two schemes. Candidates are verified on their full sets. Nothing is
+capped or sampled.
 
 How it runs:
 
 1. *Frequencies.* Each map task hashes its documents and sends packed arrays of hashes to buckets of the hash range; a
    bucket counts each n-gram and sends those of frequency 2 or more home to their document. N-grams of one document
    alone take part only by their number. One shuffle of 8 bytes an n-gram.
-2. *Survivors.* A document whose n-grams of frequency 2 or more are under o can't have a partner and ends here.
-3. *Lists.* Survivors post their signatures; each signature's documents form a list. Identical sets are represented by
-   their first row. A list goes to its first document ("owner"), so that the many signatures that copies of one text share
-   meet in one place and each pair is verified once there, not once a signature.
-4. *Verification.* Sets are sent to the owners' buckets that list them, and each pair that shares a list is verified.
+2. *Survivors.* A document whose n-grams of frequency 2 or more are under o can't have a partner and ends here. Of
+   identical sets, found by a 128-bit digest, the first row goes on with their number.
+3. *Lists.* Sets post their signatures; each signature's sets form a list. A list goes to its first set ("owner"), so that the
+   many signatures that copies of one text share meet in one place and a pair is verified once there, not once a
+   signature. A list of more than ``CHUNK`` sets is cut into pieces by row, and each two of the pieces go to a place of their own.
+4. *Verification.* Sets are sent to the buckets that list them, and each pair that shares a list is verified. The pairs
+   go, packed, to a bucket by their smaller row, which tells repeated ones apart, sums up the links of each set and leaves of
+   the pairs a forest that connects the same sets.
 
 Packed arrays are read and written by numpy in Arrow batches: built-in operators would need a row, and a shuffle record,
 for every one of the n-grams.
@@ -27,7 +35,8 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from fractions import Fraction
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +46,12 @@ from pyspark.sql import functions as F
 
 from quern.llm import common
 
-#: Parameters in production. permille: the Jaccard threshold in thousandths.
-PARAMS = {"n": 3, "permille": 600, "rare": 4096}
+#: Parameters in production. permille: the Jaccard threshold in thousandths; limits: the greatest document frequencies of class 1
+#: and 2, None for the powers 1/2 and 3/4 of the number of documents; tiers: the largest sets indexed by triples and by pairs.
+PARAMS = {"n": 3, "permille": 600, "limits": None, "tiers": (32, 128)}
+CHUNK = 1024
+#: Bytes of input for each bucket beyond the shuffle partitions that are set.
+SLOT_BYTES = 256 << 20
 BLOCK = 1_500_000  # n-grams that a map task packs at a time
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -236,55 +249,58 @@ def _survivors(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch({k: pa.array(c, t) for (k, t), c in zip(types.items(), zip(*rows, strict=True), strict=True)})
 
 
-def signatures(n: int, grams: np.ndarray, codes: np.ndarray, permille: int, rare: int) -> np.ndarray:
+@lru_cache(maxsize=65536)
+def schemes(n: int, permille: int, tiers: tuple[int, int]) -> dict[int, int]:
+    """Schemes (largest combination) by which a set of n is indexed, each with the least overlap with partners found by it."""
+    out: dict[int, int] = {}
+    for m in range(n, n * 1000 // permille + 1) if n <= tiers[1] else (n,):
+        o = int(need(m, permille))
+        k = 3 if m <= tiers[0] and o >= 4 else 2 if m <= tiers[1] and o >= 2 else 1
+        out.setdefault(k, o)
+    return out
+
+
+def signatures(n: int, grams: np.ndarray, codes: np.ndarray, permille: int, limits: tuple[int, int], tiers: tuple[int, int]) -> np.ndarray:
     """Signatures of a set of n, of which ``grams`` (in global order) occur in other documents too."""
-    own, o = n - len(grams), int(need(n, permille))
-    budget = n - o + 1
-    limit = int(frequency_code(np.array([rare]))[0])
-    frequent_from = own + int(np.searchsorted(codes, limit, side="right"))  # tokens before are class 1
-    length = budget
-    if budget > frequent_from:
-        length = budget + 1  # one class-2 token can be shared without a shared pair
+    own = n - len(grams)
+    ends = np.searchsorted(codes, frequency_code(np.array(limits)), side="right")  # where class 1 and 2 end
     out = []
-    if length <= n:
-        prefix = grams[: max(0, length - own)]
-        single = prefix[: max(0, frequent_from - own)]
-        pairs = prefix[len(single) :]
-        out.append(_mix(single + np.uint64(1)))
-        if len(pairs) > 1:
-            i, j = np.triu_indices(len(pairs), 1)
-            out.append(_mix(_mix(pairs[i] + np.uint64(2)) * _C[0] + pairs[j]))
-    # a set with o < 2 can't be extended; it and all that can pair with it, sets of up to 1 / t times its size, are indexed singly
-    smallest = int(1 / Fraction(permille, 1000))
-    if n <= smallest * 1000 // permille:
-        out.append(_mix(grams[: max(0, budget - own)] + np.uint64(3)))
+    for k, o in schemes(n, permille, tiers).items():
+        least = n - o + 1
+        length = max(0, least - own)
+        while True:
+            bounds = [0, *(min(length, int(e)) for e in ends[: k - 1]), length]
+            if own + length - sum(min(bounds[c + 1] - bounds[c], c) for c in range(1, k)) >= least:
+                break
+            length += 1
+        for c in range(k):
+            part = grams[bounds[c] : bounds[c + 1]]
+            if len(part) > c:
+                at = np.arange(len(part))[None] if c == 0 else np.array(np.triu_indices(len(part), 1)) if c == 1 else np.array(list(combinations(range(len(part)), 3))).T
+                h = np.full(at.shape[1], 4 * k + c, dtype=np.uint64)
+                for x in at:
+                    h = _mix(h * _C[0] + part[x])
+                out.append(h)
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], permille: int, rare: int, slots: int) -> Iterator[pa.RecordBatch]:
-    """Survivors -> packets of (row, identity, run of signatures)."""
+def _sign(batches: Iterator[pa.RecordBatch], permille: int, limits: tuple[int, int], tiers: tuple[int, int], slots: int) -> Iterator[pa.RecordBatch]:
+    """Sets -> packets of (row, run of signatures)."""
     for b in batches:
-        rows, idents, sigs = [], [], []
-        for row, n, same, g, c in zip(*(b.column(k).to_pylist() for k in ("row", "n", "same", "grams", "codes")), strict=True):
-            s = signatures(n, np.frombuffer(g, dtype=np.uint64), np.frombuffer(c, dtype=np.uint8), permille, rare)
-            rows.append(row)
-            idents.append(np.frombuffer(same[:8], dtype=np.uint64)[0] if same else _mix(np.array([row], dtype=np.uint64))[0])
-            sigs.append(np.unique(s))
-        if not rows:
-            continue
+        rows = np.asarray(b.column("row"))
+        sigs = [np.unique(signatures(n, np.frombuffer(g, dtype=np.uint64), np.frombuffer(c, dtype=np.uint8), permille, limits, tiers)) for n, g, c in zip(*(b.column(k).to_pylist() for k in ("n", "grams", "codes")), strict=True)]
         counts = np.array([len(s) for s in sigs], dtype=np.int64)
         if not counts.sum():
             continue
         h, doc = np.concatenate(sigs), np.repeat(np.arange(len(sigs)), counts)
         slot = _slot(h, slots)
         first = _firsts(doc * slots + slot)
-        d = doc[first]
-        yield from _send_runs(slot[first], [np.array(rows, dtype=np.int64)[d], np.array(idents, dtype=np.uint64)[d]], np.diff(np.append(first, len(h))), [h], slots)
+        yield from _send_runs(slot[first], [rows[doc[first]]], np.diff(np.append(first, len(h))), [h], slots)
 
 
-def _list(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
-    """One part of the signatures: lists of documents, of each identity the first row, sent to their first document's bucket."""
-    row, ident, lengths, h = _gather(batches, np.int64, np.uint64, np.uint32, np.uint64)
+def _list(batches: Iterator[pa.RecordBatch], slots: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """One part of the signatures: packets of (place, sets of the first piece, run of sets). Without a second piece the first is 0."""
+    row, lengths, h = _gather(batches, np.int64, np.uint32, np.uint64)
     if not len(h):
         return
     entry = np.repeat(np.arange(len(row)), lengths)
@@ -292,53 +308,58 @@ def _list(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBa
     first = _firsts(h[order])
     df = np.diff(np.append(first, len(h)))
     multi = np.repeat(df >= 2, df)
-    group = np.repeat(np.arange(len(df)), df)[multi]
-    e = entry[order[multi]]
-    r, i = row[e], ident[e]
-    order = np.lexsort((r, i, group))
-    group, r, i = group[order], r[order], i[order]
-    once = np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] != i[:-1])]) if len(group) else np.empty(0, dtype=bool)
-    group, r = group[once], r[once]
+    group, r = np.repeat(np.arange(len(df)), df)[multi], row[entry[order[multi]]]
     order = np.lexsort((r, group))
     group, r = group[order], r[order]
     first = _firsts(group)
-    size = np.diff(np.append(first, len(group)))
-    first, size = first[size >= 2], size[size >= 2]
     if not len(first):
         return
+    size = np.diff(np.append(first, len(group)))
     # the same list under many signatures is sent once
-    sums = _mix(r.astype(np.uint64) + _C[0])
-    key = np.add.reduceat(sums, first) if len(first) == len(size) and size.sum() == len(r) else np.array([sums[a : a + k].sum() for a, k in zip(first, size, strict=True)], dtype=np.uint64)
+    key = np.add.reduceat(_mix(r.astype(np.uint64) + _C[0]), first)
     _, pick = np.unique(np.stack([key, r[first].astype(np.uint64), size.astype(np.uint64)], axis=1), axis=0, return_index=True)
     first, size = first[pick], size[pick]
-    owner = r[first]
-    yield from _send_runs(_home(owner, slots), [], size, [r[_flat(size, first)]], slots)
+    owner = r[first].astype(np.uint64)
+    whole = size <= chunk
+    place = _mix(owner + _C[0])
+    yield from _send_runs(_slot(place[whole], slots), [place[whole], np.zeros(whole.sum(), dtype=np.uint32)], size[whole], [r[_flat(size[whole], first[whole])]], slots)
+    for at, k, o in zip(first[~whole], size[~whole], owner[~whole], strict=True):
+        mine = r[at : at + k]
+        bits = np.uint64(int(-(-int(k) // chunk) - 1).bit_length())
+        piece = _mix(mine.astype(np.uint64) + _C[1]) >> (np.uint64(64) - bits)
+        parts = [mine[piece == x] for x in range(1 << int(bits))]
+        for i, a in enumerate(parts):
+            pairs = [(j, parts[j]) for j in range(i, len(parts)) if len(a) and len(parts[j])]
+            if pairs:
+                where = _mix(_mix(_mix(np.full(len(pairs), o) + bits) * _C[0] + np.uint64(i)) * _C[0] + np.array([j for j, _ in pairs], dtype=np.uint64))
+                runs = [a if j == i else np.concatenate([a, b]) for j, b in pairs]
+                yield from _send_runs(_slot(where, slots), [where, np.array([0 if j == i else len(a) for j, _ in pairs], dtype=np.uint32)], np.array([len(x) for x in runs], dtype=np.int64), [np.concatenate(runs)], slots)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows that a packet of lists names, once each."""
     for b in batches:
         for slot, blob in zip(b.column("slot").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            rows = np.unique(_unpack(blob, np.uint32, np.int64)[1])
+            rows = np.unique(_unpack(blob, np.uint64, np.uint32, np.uint32, np.int64)[3])
             yield pa.record_batch({"slot": pa.array(np.full(len(rows), slot, dtype=np.int32)), "row": pa.array(rows)})
 
 
-def _verify_owner(lists: list[np.ndarray], sets: dict[int, tuple[int, np.ndarray]], permille: int) -> list[np.ndarray]:
-    """Pairs (row, row, overlap, size, size) among the documents of one owner's lists that share a list and reach the threshold."""
-    docs = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+def _verify_place(lists: list[tuple[np.ndarray, np.ndarray]], sets: dict[int, tuple[int, int, np.ndarray]], permille: int) -> list[np.ndarray]:
+    """Pairs (row, row, overlap) of one place that share a list and reach the threshold. lists: the two sides of each list."""
+    docs = np.unique(np.concatenate([x for pair in lists for x in pair]))
     m = len(docs)
     n = np.array([sets[d][0] for d in docs.tolist()], dtype=np.int64)
-    grams = [sets[d][1] for d in docs.tolist()]
+    grams = [sets[d][2] for d in docs.tolist()]
+    at = [(np.searchsorted(docs, x), np.searchsorted(docs, y)) for x, y in lists]
     out = []
     if m < 12:
-        local = {d: i for i, d in enumerate(docs.tolist())}
-        pairs = {(local[x[i]], local[x[j]]) for x in (np.sort(y).tolist() for y in lists) for j in range(len(x)) for i in range(j)}
+        pairs = {(min(i, j), max(i, j)) for x, y in at for i in x.tolist() for j in y.tolist() if i != j}
         keep = [(i, j) for i, j in pairs if min(n[i], n[j]) * 1000 >= permille * max(n[i], n[j])]
         frozen = {i: frozenset(grams[i].tolist()) for i in {x for p in keep for x in p}}
         for i, j in keep:
             both = len(frozen[i] & frozen[j])
             if both * 1000 >= permille * (n[i] + n[j] - both):
-                out.append(np.array([[docs[i], docs[j], both, n[i], n[j]]], dtype=np.int64))
+                out.append(np.array([[docs[i], docs[j], both]], dtype=np.int64))
         return out
     # columns: n-grams of at least two of the documents
     values, inverse, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
@@ -346,7 +367,6 @@ def _verify_owner(lists: list[np.ndarray], sets: dict[int, tuple[int, np.ndarray
     who = np.repeat(np.arange(m), [len(g) for g in grams])
     useful = times[inverse] >= 2
     who, col, width = who[useful], column[inverse[useful]], int((times >= 2).sum())
-    at = [np.searchsorted(docs, x) for x in lists]
     step = max(1, min(m, 1024))
     starts = np.searchsorted(who, np.arange(m + 1))
 
@@ -362,10 +382,11 @@ def _verify_owner(lists: list[np.ndarray], sets: dict[int, tuple[int, np.ndarray
         for a2 in range(a, m, step):
             b2 = min(m, a2 + step)
             listed = np.zeros((b - a, b2 - a2), dtype=bool)
-            for x in at:
-                p, q = x[(x >= a) & (x < b)] - a, x[(x >= a2) & (x < b2)] - a2
-                if len(p) and len(q):
-                    listed[np.ix_(p, q)] = True
+            for x, y in at:
+                for p, q in ((x, y), (y, x)) if x is not y else ((x, y),):
+                    p, q = p[(p >= a) & (p < b)] - a, q[(q >= a2) & (q < b2)] - a2
+                    if len(p) and len(q):
+                        listed[np.ix_(p, q)] = True
             if a == a2:
                 listed &= np.triu(np.ones(listed.shape, dtype=bool), 1)
             if not listed.any():
@@ -376,27 +397,72 @@ def _verify_owner(lists: list[np.ndarray], sets: dict[int, tuple[int, np.ndarray
                 both += block(a, b, c0, c1) @ block(a2, b2, c0, c1).T
             union = n[a:b][:, None] + n[a2:b2][None, :] - both
             i, j = np.nonzero(listed & (both * 1000 >= permille * union))
-            out.append(np.stack([docs[a + i], docs[a2 + j], both[i, j].astype(np.int64), n[a + i], n[a2 + j]], axis=1))
+            out.append(np.stack([docs[a + i], docs[a2 + j], both[i, j].astype(np.int64)], axis=1))
     return out
 
 
-PAIR = "row_a bigint, row_b bigint, overlap int, n_a int, n_b int"
+_PAIR = [np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.int64, np.int64]
 
 
-def _verify(lists: pa.Table, sets: pa.Table, permille: int) -> pa.Table:
-    have = {r: (n, np.frombuffer(g, dtype=np.uint64)) for r, n, g in zip(*(sets.column(k).to_pylist() for k in ("row", "n", "grams")), strict=True)}
-    owned: dict[int, list[np.ndarray]] = {}
+def _verify(lists: pa.Table, sets: pa.Table, permille: int, slots: int) -> pa.Table:
+    """One bucket of places: packets of pairs (row, row, overlap, sizes, numbers of identical sets), by the smaller row."""
+    have = {r: (n, t, np.frombuffer(g, dtype=np.uint64)) for r, n, t, g in zip(*(sets.column(k).to_pylist() for k in ("row", "n", "times", "grams")), strict=True)}
+    places: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for blob in lists.column("blob").to_pylist():
-        lengths, rows = _unpack(blob, np.uint32, np.int64)
-        for x in np.split(rows, np.cumsum(lengths)[:-1]):
-            owned.setdefault(int(x[0]), []).append(x)
-    found = [x for own in owned.values() for x in _verify_owner(own, have, permille)]
-    p = np.concatenate(found) if found else np.empty((0, 5), dtype=np.int64)
-    return pa.table({"row_a": p[:, 0], "row_b": p[:, 1], "overlap": p[:, 2].astype(np.int32), "n_a": p[:, 3].astype(np.int32), "n_b": p[:, 4].astype(np.int32)})
+        place, left, lengths, rows = _unpack(blob, np.uint64, np.uint32, np.uint32, np.int64)
+        for k, cut, x in zip(place.tolist(), left.tolist(), np.split(rows, np.cumsum(lengths)[:-1]), strict=True):
+            places.setdefault(k, []).append((x[:cut], x[cut:]) if cut else (x, x))
+    found = [x for own in places.values() for x in _verify_place(own, have, permille)]
+    p = np.concatenate(found) if found else np.empty((0, 3), dtype=np.int64)
+    order = np.lexsort((p[:, 1], p[:, 0]))
+    p = p[order]
+    p = p[np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(axis=1)])] if len(p) else p
+    slot = _home(p[:, 0], slots)
+    order = np.argsort(slot, kind="stable")
+    p, slot = p[order], slot[order]
+    first = np.append(_firsts(slot), len(slot))
+    of = lambda rows, i: [have[x][i] for x in rows.tolist()]
+    blobs = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        x, y = p[a:b, 0], p[a:b, 1]
+        columns = [x, y, p[a:b, 2], of(x, 0), of(y, 0), of(x, 1), of(y, 1)]
+        blobs.append(_pack(*(np.asarray(c, dtype=t) for c, t in zip(columns, _PAIR, strict=True))))
+    return pa.table({"slot": pa.array(slot[first[:-1]].astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
 
 
-def _slots(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+LINKS = "row bigint, links bigint, best double, root bigint"
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket of pairs: for each set its links and greatest similarity there, and the smallest row that these pairs connect it to."""
+    a, b, both, na, nb, ta, tb = _gather(batches, *_PAIR)
+    if not len(a):
+        return
+    order = np.lexsort((b, a))
+    once = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])]
+    a, b, both, na, nb, ta, tb = (x[once] for x in (a, b, both.astype(np.int64), na.astype(np.int64), nb.astype(np.int64), ta, tb))
+    rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    links = np.zeros(len(rows), dtype=np.int64)
+    np.add.at(links, i, tb)
+    np.add.at(links, j, ta)
+    similar, best = both / (na + nb - both), np.zeros(len(rows))
+    np.maximum.at(best, i, similar)
+    np.maximum.at(best, j, similar)
+    root = np.arange(len(rows))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, i, before[j])
+        np.minimum.at(root, j, before[i])
+        root = root[root]
+        if (root == before).all():
+            break
+    yield pa.record_batch({"row": pa.array(rows), "links": pa.array(links), "best": pa.array(best), "root": pa.array(rows[root])})
+
+
+def _slots(spark: SparkSession, size: int) -> int:
+    """Buckets for an input of ``size`` bytes: a worker holds one at a time, so their number follows the data."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SLOT_BYTES))
 
 
 def _collect_garbage(spark: SparkSession) -> None:
@@ -405,25 +471,46 @@ def _collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def row_pairs(docs: DataFrame, files: dict[str, int], n: int, permille: int, rare: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of rows that reach the threshold, of each group of identical sets only the first; survivors as row, n, same).
-
-    Both are written tables. docs must be from ``common.addressed``.
-    """
+def row_classes(docs: DataFrame, files: common.Files, n: int, permille: int, limits: tuple[int, int] | None, tiers: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
+    """A written table (row, root, links, best) of the rows that are similar to another: the smallest row of the class (connected
+    component), the number of similar rows and the greatest similarity. docs must be from ``common.addressed``."""
     spark = docs.sparkSession
-    slots = _slots(spark)
+    slots = _slots(spark, files.bytes)
+    if limits is None:
+        count = docs.count()
+        limits = (max(2, round(count**0.5)), max(4, round(count**0.75)))
+    tiers = tuple(tiers)
     rows = docs.select("text", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
     posted = rows.mapInArrow(lambda b: _post(b, files, n, slots), PACKET).repartitionById(slots, F.col("slot"))
     home = posted.mapInArrow(lambda b: _count(b, slots), PACKET).repartitionById(slots, F.col("slot"))
     survivors = common.written(home.mapInArrow(lambda b: _survive(b, permille), SURVIVOR), "survivors")
     del posted, home
     _collect_garbage(spark)
-    signed = survivors.mapInArrow(lambda b: _sign(b, permille, rare, slots), PACKET).repartitionById(slots, F.col("slot"))
-    lists = common.written(signed.mapInArrow(lambda b: _list(b, 4 * slots), PACKET), "lists")
+    # of identical sets one goes on
+    same = survivors.where("same is not null").select("row", "n", "same")
+    firsts = common.written(same.groupBy("same", "n").agg(F.min("row").alias("first"), F.count("*").alias("times")), "firsts")
+    columns = ["row", "n", "times", "grams", "codes"]
+    alone = survivors.where("same is null").withColumn("times", F.lit(1).cast("bigint")).select(*columns)
+    sets = common.written(alone.unionByName(survivors.where("same is not null").join(firsts.select(F.col("first").alias("row"), "times"), "row").select(*columns)), "sets")
+    copies = common.written(same.join(firsts.where("times > 1"), ["same", "n"]).select("row", "first"), "copies")
+    common.drop(survivors)
+    signed = sets.mapInArrow(lambda b: _sign(b, permille, limits, tiers, slots), PACKET).repartitionById(slots, F.col("slot"))
+    lists = common.written(signed.mapInArrow(lambda b: _list(b, 4 * slots, chunk), PACKET), "lists")
     members = lists.mapInArrow(_members, "slot int, row bigint").distinct()
-    sets = members.join(survivors.select("row", "n", "grams"), "row").select("slot", "row", "n", "grams")
-    pairs = lists.groupBy("slot").cogroup(sets.groupBy("slot")).applyInArrow(lambda a, b: _verify(a, b, permille), PAIR)
-    return common.written(pairs.dropDuplicates(["row_a", "row_b"]), "pairs"), survivors.select("row", "n", "same")
+    listed = members.join(sets.select("row", "n", "times", "grams"), "row")
+    pairs = lists.groupBy("slot").cogroup(listed.groupBy("slot")).applyInArrow(lambda a, b: _verify(a, b, permille, slots), PACKET)
+    links = common.written(pairs.repartitionById(slots, F.col("slot")).mapInArrow(_settle, LINKS), "links")
+    common.drop(sets, lists)
+    roots = components(links.select(F.col("row").alias("a"), F.col("root").alias("b")))
+    # every set that is similar to another or has copies, with what is known of it
+    known = links.groupBy("row").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    known = known.join(firsts.where("times > 1").select(F.col("first").alias("row"), "times"), "row", "full").join(roots, "row", "left")
+    one = F.coalesce("times", F.lit(1))
+    known = known.select(F.col("row").alias("first"), F.coalesce("root", "row").alias("root"), (F.coalesce("links", F.lit(0)) + one - 1).alias("links"), F.when(one > 1, 1.0).otherwise(F.col("best")).alias("best"))
+    found = known.join(copies, "first", "left").select(F.coalesce("row", "first").alias("row"), "root", "links", "best")
+    out = common.written(found, "classes")
+    common.drop(links, firsts, copies, roots)
+    return out
 
 
 def _ids(docs: DataFrame, files: dict[str, int]) -> DataFrame:
@@ -436,69 +523,63 @@ def _ids(docs: DataFrame, files: dict[str, int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at")).mapInArrow(run, "row bigint, doc_id bigint")
 
 
-def join(docs: DataFrame, n: int = PARAMS["n"], permille: int = PARAMS["permille"], rare: int = PARAMS["rare"]) -> DataFrame:
-    """(doc_id_a, doc_id_b, overlap, jaccard): all pairs of documents of Jaccard similarity permille / 1000 or more.
+def join(docs: DataFrame, n: int = PARAMS["n"], permille: int = PARAMS["permille"], limits: tuple[int, int] | None = PARAMS["limits"], tiers: tuple[int, int] = PARAMS["tiers"], chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, class_id, n_links, best_jaccard) of each row of ``docs``.
 
-    Documents with identical n-gram sets are listed once against the smallest doc_id of their group, with jaccard 1; other
-    pairs are listed between those smallest ids, doc_id_a < doc_id_b. Any two documents are similar exactly if the
-    smallest ids of their groups are listed, or they are in one group: copies of a text in thousands take a row each, not
-    one for every two. Texts that are null or have no word are similar to none. A text of under n words is one n-gram.
-    Repeated rows with the same doc_id give a row (id, id). A null doc_id is smaller than no other. Other columns are
-    ignored. An empty table gives no rows.
+    n_links: how many other rows have a Jaccard similarity of permille / 1000 or more with this one, identical sets counted one
+    by one; best_jaccard: the greatest of these similarities, 0 without any. A class is a connected component of
+    these links; class_id is its smallest doc_id, null where it has none. Thus a group of copies takes a row for each, and not one for
+    every two. Texts that are null or have no word are similar to none and alone in their class. A text of under n words is
+    one n-gram. Repeated rows are similar to each other. Very long texts count whole. Other columns are ignored, whatever
+    their names. An empty table gives no rows.
     """
     docs, files = common.addressed(docs)
-    pairs, survivors = row_pairs(docs, files, n, permille, rare)
-    have = survivors.join(_ids(docs, files), "row")
-    same = have.where("same is not null")
-    first = same.groupBy("same", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    copies = same.join(first, ["same", "n"]).where("row <> first.row").select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.col("n").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    name = common.written(have.join(first.select("same", "n", F.col("first.doc_id").alias("first_id")), ["same", "n"], "left").select("row", F.when(F.col("first_id").isNotNull(), F.col("first_id")).otherwise(F.col("doc_id")).alias("id")), "names")
-    near = pairs.join(name.select(F.col("row").alias("row_a"), F.col("id").alias("x")), "row_a").join(name.select(F.col("row").alias("row_b"), F.col("id").alias("y")), "row_b")
-    swap = F.col("y").isNotNull() & (F.col("x").isNull() | (F.col("y") < F.col("x")))
-    near = near.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("doc_id_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("doc_id_b"), "overlap", F.round(F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap")), 6).alias("jaccard"))
-    return copies.unionByName(near)
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(row, root): the smallest row of each row's connected component, from edges (a, b).
-
-    Alternating large-star and small-star steps; each round's edges are a written table, so lineage stays short.
+    classes = row_classes(docs, files, n, permille, limits, tiers, chunk)
+    named = _ids(docs, files).join(classes, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    least = named.where("links is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "root", "left").select("doc_id", F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best_jaccard"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(row, root), a written table: the smallest row of each row's connected component, from edges (a, b), for all rows but the roots.
+
+    Alternating large-star and small-star steps until nothing changes, about the logarithm of the longest path; each round's
+    edges are a written table, so lineage stays short, and the one before is deleted. Null ends and edges from a row to itself
+    are passed over; without edges there are no rows.
     """
     edges = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = common.written(small, "edges")
+        last, edges = edges, common.written(small, "edges")
+        common.drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("row"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("row"), F.col("b").alias("root"))
+            out.quern_path = edges.quern_path
+            return out
         before = now
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def keep_one(docs: DataFrame, n: int = PARAMS["n"], permille: int = PARAMS["permille"], rare: int = PARAMS["rare"]) -> DataFrame:
-    """``docs`` with one row of each group of similar documents, all columns kept.
+def keep_one(docs: DataFrame, n: int = PARAMS["n"], permille: int = PARAMS["permille"], limits: tuple[int, int] | None = PARAMS["limits"], tiers: tuple[int, int] = PARAMS["tiers"], chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with one row of each class of ``join``, all columns kept.
 
-    Groups are the connected components of the pairs of ``join``; the row with the smallest doc_id stays, of several rows
-    with that id (or with none but nulls) the first in the input's files. Rows without any word are in no group and stay.
+    The row with the smallest doc_id stays; of several with that id, or where all are null, the first in the input's files. Rows
+    without any word are alone in their class and stay. Texts of any length count whole; a table without rows stays so; columns
+    of the input may have any names.
     """
     docs, files = common.addressed(docs)
-    pairs, survivors = row_pairs(docs, files, n, permille, rare)
-    same = survivors.where("same is not null")
-    first = same.groupBy("same", "n").agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1")
-    copies = same.join(first, ["same", "n"]).where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    roots = components(copies.unionByName(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))))
-    members = roots.unionByName(roots.select(F.col("root").alias("row"), "root").distinct())
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    named = members.join(_ids(docs, files), "row")
-    chosen = named.groupBy("root").agg(F.min_by("row", order).alias("stays"))
+    classes = row_classes(docs, files, n, permille, limits, tiers, chunk)
+    named = classes.select("row", "root").join(_ids(docs, files), "row")
+    chosen = named.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("stays"))
     gone = named.join(chosen, "root").where("row <> stays").select("row")
     paths = docs.sparkSession.createDataFrame([(i, p) for p, i in files.items()] or [(-1, "")], "file int, quern_path string")
     gone = common.written(gone.select(F.shiftright("row", common.ROW_BITS).cast("int").alias("file"), F.col("row").bitwiseAND((1 << common.ROW_BITS) - 1).alias("quern_row_at")).join(paths, "file").select("quern_path", "quern_row_at"), "gone")
+    common.drop(classes)
     _collect_garbage(docs.sparkSession)
     out = docs.select(common.packed(docs), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
     return out.join(gone, (F.col("path") == F.col("quern_path")) & (F.col("at") == F.col("quern_row_at")), "left_anti").select("quern_row.*")
@@ -509,13 +590,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-with w as (select doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') as w from documents),
+with recursive w as (select doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') as w from documents),
 s as (select doc_id, list_sort(list_distinct(case when len(w) <= {PARAMS["n"]} then [array_to_string(w, ' ')]
     else list_transform(range(1, len(w) - {PARAMS["n"] - 2}), lambda i: array_to_string(w[i : i + {PARAMS["n"] - 1}], ' ')) end)) as g from w where len(w) > 0),
-u as (select g, min(doc_id) as id, list(doc_id) as ids from s group by g),
-e as (select id, len(g) as n, unnest(g) as gram from u),
-p as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as overlap from e a join e b on a.gram = b.gram and a.id < b.id group by all),
-near as (select a, b, overlap, round(overlap / (na + nb - overlap), 6) as jaccard from p where overlap * 1000 >= {PARAMS["permille"]} * (na + nb - overlap)),
-copies as (select id as a, unnest(ids) as b, len(g) as overlap from u)
-select a as doc_id_a, b as doc_id_b, overlap::int as overlap, jaccard from near
-union all select a, b, overlap::int, 1.0 from copies where a <> b"""
+u as materialized (select g, min(doc_id) as id, count(*) as times, list(doc_id) as ids from s group by g),
+e as materialized (select id, times, len(g) as n, unnest(g) as gram from u),
+p as (select a.id as a, b.id as b, a.n as na, b.n as nb, any_value(a.times) as ta, any_value(b.times) as tb, count(*) as overlap from e a join e b on a.gram = b.gram and a.id < b.id group by a.id, b.id, a.n, b.n),
+near as materialized (select *, overlap / (na + nb - overlap) as jaccard from p where overlap * 1000 >= {PARAMS["permille"]} * (na + nb - overlap)),
+ends as materialized (select a, b, tb as t, jaccard from near union all select b, a, ta, jaccard from near),
+linked as (select a, sum(t) as links, max(jaccard) as best from ends group by a),
+reach(id, root) as (select id, id from u union select x.b, r.root from reach r join ends x on x.a = r.id where r.root < x.b),
+roots as (select id, min(root) as root from reach group by id),
+known as (select unnest(u.ids) as doc_id, r.root, coalesce(l.links, 0) + u.times - 1 as links, case when u.times > 1 then 1.0 else coalesce(l.best, 0.0) end as best
+    from u join roots r on r.id = u.id left join linked l on l.a = u.id)
+select d.doc_id, coalesce(k.root, d.doc_id) as class_id, coalesce(k.links, 0)::bigint as n_links, round(coalesce(k.best, 0.0), 6)::double as best_jaccard
+from documents d left join known k on k.doc_id = d.doc_id"""

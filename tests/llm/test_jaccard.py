@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -25,19 +24,30 @@ def brute_pairs(rows, n, permille):
     return {(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if len(s[a] & s[b]) * 1000 >= permille * len(s[a] | s[b])}
 
 
-def expand(listed, rows, n):
-    """All similar pairs of ids from the listed ones: copies share the fate of their group's smallest id."""
-    groups = defaultdict(list)
-    for i, g in sets_of(rows, n).items():
-        groups[g].append(rows[i][0])
-    name = {min(v): v for v in groups.values()}
-    out = set()
-    for v in name.values():
-        out |= {(a, b) for a in v for b in v if a < b}
-    for a, b, j in listed:
-        if j < 1 or (a in name and b in name):
-            out |= {tuple(sorted((x, y))) for x in name[a] for y in name[b]}
-    return out
+def brute_classes(rows, n, permille):
+    """(doc_id, class_id, n_links, best_jaccard) of each row, by comparing every two."""
+    s, root, links, best = sets_of(rows, n), list(range(len(rows))), [0] * len(rows), [0.0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in brute_pairs(rows, n, permille):
+        j = len(s[a] & s[b]) / len(s[a] | s[b])
+        for x in (a, b):
+            links[x] += 1
+            best[x] = max(best[x], j)
+        root[find(a)] = find(b)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted(((r[0], least.get(find(i)), links[i], round(best[i], 6)) for i, r in enumerate(rows)), key=str)
+
+
+def classes(docs, *args, **kw):
+    return sorted((tuple(r) for r in jaccard.join(docs, *args, **kw).collect()), key=str)
 
 
 def corpus(seed, size=160):
@@ -60,19 +70,23 @@ def corpus(seed, size=160):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "permille", "rare", "n"), [(1, 600, 4096, 3), (2, 600, 3, 3), (3, 300, 4, 2), (4, 800, 2, 1), (5, 500, 8, 2)])
-def test_join_against_brute_force(spark, table, seed, permille, rare, n):
+PARAMETERS = [(1, 600, None, (32, 128), 3), (2, 600, (3, 9), (32, 128), 3), (3, 300, (2, 4), (40, 50), 2), (4, 800, (2, 30), (60, 60), 1), (5, 500, (8, 20), (10, 30), 2), (6, 600, (1, 2), (64, 64), 2)]
+
+
+@pytest.mark.parametrize(("seed", "permille", "limits", "tiers", "n"), PARAMETERS)
+def test_join_against_brute_force(spark, table, seed, permille, limits, tiers, n):
     rows = corpus(seed)
-    got = [(r["doc_id_a"], r["doc_id_b"], r["jaccard"]) for r in jaccard.join(spark.read.parquet(table(rows)), n, permille, rare).collect()]
-    assert len(got) == len({(a, b) for a, b, _ in got})
-    assert expand(got, rows, n) == {(rows[a][0], rows[b][0]) for a, b in brute_pairs(rows, n, permille)}
+    assert classes(spark.read.parquet(table(rows)), n, permille, limits, tiers) == brute_classes(rows, n, permille)
 
 
-def test_many_near_copies_use_blocks(spark, table):
+def test_many_near_copies_use_blocks_and_pieces(spark, table):
     base = [f"t{i}" for i in range(50)]
-    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i in range(40) for k in [i % 50]]
-    got = {(r["doc_id_a"], r["doc_id_b"]) for r in jaccard.join(spark.read.parquet(table(rows)), 3, 600).collect()}
-    assert got == brute_pairs(rows, 3, 600) and len(got) > 500
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i in range(60) for k in [i % 50]]
+    want = brute_classes(rows, 3, 600)
+    assert sum(x[2] for x in want) > 1000
+    docs = spark.read.parquet(table(rows))
+    assert classes(docs, 3, 600) == want
+    assert classes(docs, 3, 600, chunk=7) == want
 
 
 def test_keep_one_against_brute_force(spark, table):
@@ -99,8 +113,7 @@ def test_edges(spark, table):
     texts = [r["text"] for r in kept.collect()]
     assert texts.count("a b c d e f g h") == 1 and len(texts) == len(EDGES) - 2
     assert [r["doc_id"] for r in kept.where("text = 'a b c d e f g h'").collect()] == [3]
-    pairs = [(r["doc_id_a"], r["doc_id_b"], r["jaccard"]) for r in jaccard.join(docs).collect()]
-    assert sorted(pairs, key=str) == [(3, 3, 1.0), (3, None, 1.0)]
+    assert classes(docs) == brute_classes(EDGES, 3, 600)
 
 
 def test_empty_and_in_memory(spark, table):
@@ -122,15 +135,20 @@ def test_packed_order_survives_truncated_ties():
     assert (np.diff(keys[order].astype(object)) >= 0).all()
 
 
-def test_signature_guarantee():
-    """Any two sets at the threshold share a signature, whatever the classes."""
+@pytest.mark.parametrize("tiers", [(0, 0), (0, 12), (12, 16), (40, 40)])
+def test_signature_guarantee(tiers):
+    """Any two sets at the threshold share a signature, whatever the classes; triples and pairs are really used."""
     r = np.random.default_rng(0)
-    for _ in range(300):
+    found = 0
+    for _ in range(3000):
         universe = np.sort(r.integers(1, 2**62, 40, dtype=np.uint64))
         codes = np.sort(r.integers(8, 60, 40)).astype(np.uint8)
         a = np.sort(r.choice(40, r.integers(1, 20), replace=False))
         b = np.sort(np.union1d(a[r.random(len(a)) > 0.15], r.choice(40, 2)))
         if len(np.intersect1d(a, b)) * 1000 < 600 * len(np.union1d(a, b)):
             continue
-        sa, sb = (jaccard.signatures(len(x), universe[x], codes[x], 600, 8) for x in (a, b))
+        found += 1
+        sa, sb = (jaccard.signatures(len(x), universe[x], codes[x], 600, (8, 24), tiers) for x in (a, b))
         assert len(np.intersect1d(sa, sb))
+    assert found > 300
+    assert sorted(jaccard.schemes(20, 600, (20, 40))) == [2, 3] and list(jaccard.schemes(200, 600, (20, 40))) == [1]
