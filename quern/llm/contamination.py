@@ -26,23 +26,33 @@ MATCHES = "doc_id bigint, item_id bigint, n_tokens bigint, doc_token bigint, ite
 
 
 class Test:
-    """Benchmark items as token numbers from 1; 0 stands for any word that no item has, and for ends."""
+    """Benchmark items as token numbers from 1; 0 stands for any word that no item has, and for ends.
+
+    ``tokens`` holds the items one after the other, each followed by a 0; a suffix is its place there. Memory is in proportion
+    to the items' tokens, however long one of them is.
+    """
 
     def __init__(self, items: list[tuple[int | None, list[str]]], min_tokens: int):
         self.vocab: dict[str, int] = {}
         items = [(i, w) for i, w in items if len(w) >= min_tokens]
-        self.longest = max((len(w) for _, w in items), default=0)
-        rows, item, start, before = [], [], [], []
-        for n, (_, words) in enumerate(items):
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
-            for at in range(len(ids) - min_tokens + 1):
-                rows.append(ids[at:] + [0] * (self.longest - len(ids) + at))
-                item.append(n)
-                start.append(at)
-                before.append(ids[at - 1] if at else 0)
+        sizes = np.array([len(w) for _, w in items], dtype=np.int64)
+        self.longest = int(sizes.max()) if len(items) else 0
+        number = self.vocab.setdefault
+        self.tokens = np.zeros(int(sizes.sum()) + len(items), dtype=np.int32)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        for at, (_, words) in zip(begin.tolist(), items, strict=True):
+            self.tokens[at : at + len(words)] = [number(w, len(self.vocab) + 1) for w in words]
         self.ids = [i for i, _ in items]
-        self.suffixes = np.array(rows, dtype=np.int32).reshape(len(rows), self.longest)
-        self.item, self.start, self.before = np.array(item, dtype=np.int64), np.array(start, dtype=np.int64), np.array(before, dtype=np.int32)
+        counts = sizes - min_tokens + 1
+        self.item = np.repeat(np.arange(len(items)), counts)
+        self.start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.place = np.repeat(begin, counts) + self.start
+        self.before = np.where(self.start > 0, self.tokens[self.place - 1], 0) if len(items) else np.empty(0, dtype=np.int32)
+
+    def window(self, which: np.ndarray, skip: int, width: int) -> np.ndarray:
+        """``width`` tokens of each suffix after its first ``skip``. Rows that run past their end hold tokens of other items after a 0."""
+        at = self.place[which][:, None] + np.arange(skip, skip + width)
+        return self.tokens[np.minimum(at, len(self.tokens) - 1)]
 
 
 def suffix_array(s: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -67,8 +77,8 @@ def suffix_array(s: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def _window(s: np.ndarray, left: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    cols = np.arange(width)
+def _window(s: np.ndarray, left: np.ndarray, at: np.ndarray, width: int, skip: int = 0) -> np.ndarray:
+    cols = np.arange(skip, skip + width)
     return np.where(cols < left[at][:, None], s[np.minimum(at[:, None] + cols, len(s) - 1)], 0)
 
 
@@ -90,6 +100,18 @@ def _search(s: np.ndarray, left: np.ndarray, order: np.ndarray, tests: np.ndarra
         hi[open_] = np.where(below, hi[open_], mid)
 
 
+def _reach(s: np.ndarray, left: np.ndarray, at: np.ndarray, test: Test, q: np.ndarray, width: int = 64) -> np.ndarray:
+    """How many tokens the shard at ``at`` and the suffixes ``q`` have in common, compared ``width`` at a time."""
+    length, going, skip = np.zeros(len(at), dtype=np.int64), np.arange(len(at)), 0
+    while len(going):
+        w, t = _window(s, left, at[going], width, skip), test.window(q[going], skip, width)
+        differs = (w != t) | (t == 0)
+        ends = differs.any(axis=1)
+        length[going] += np.where(ends, differs.argmax(axis=1), width)
+        going, skip = going[~ends], skip + width
+    return length
+
+
 def search_shard(tokens: np.ndarray, bounds: np.ndarray, test: Test, min_tokens: int) -> Iterator[np.ndarray]:
     """Rows (document in the shard, item, length, token in the document, token in the item) of the maximal matches.
 
@@ -103,18 +125,18 @@ def search_shard(tokens: np.ndarray, bounds: np.ndarray, test: Test, min_tokens:
     ends = np.flatnonzero(known & (edge[1:] | ~np.concatenate([known[1:], [False]]))) + 1
     long = ends - starts >= min_tokens
     starts, sizes = starts[long], (ends - starts)[long]
-    if not len(starts) or not len(test.suffixes):
+    if not len(starts) or not len(test.place):
         return
     offset = np.concatenate([[0], np.cumsum(sizes)])
     inside = np.arange(offset[-1]) - np.repeat(offset[:-1], sizes)
     place = np.repeat(starts, sizes) + inside
     s, left = tokens[place], np.repeat(sizes, sizes) - inside
     order = suffix_array(s, left, test.longest)
-    head = test.suffixes[:, :min_tokens]
+    head = test.window(np.arange(len(test.place)), 0, min_tokens)
     lo, hi = _search(s, left, order, head, False), _search(s, left, order, head, True)
     doc = np.searchsorted(bounds, place, side="right") - 1
     hits = hi - lo
-    step = max(1, 2_000_000 // max(1, test.longest))
+    step = 50_000
     upto = np.cumsum(hits)
     done = 0
     while done < (upto[-1] if len(upto) else 0):
@@ -125,9 +147,7 @@ def search_shard(tokens: np.ndarray, bounds: np.ndarray, test: Test, min_tokens:
         previous = np.where(inside[at] > 0, s[at - 1], 0)
         grows = (previous == test.before[q]) & (previous > 0)  # the match one token earlier is longer
         q, at = q[~grows], at[~grows]
-        w, t = _window(s, left, at, test.longest), test.suffixes[q]
-        differs = (w != t) | (t == 0)
-        length = np.where(differs.any(axis=1), differs.argmax(axis=1), test.longest)
+        length = _reach(s, left, at, test, q)
         d = doc[at]
         yield np.stack([d, test.item[q], length, place[at] - bounds[d], test.start[q]], axis=1)
 
@@ -135,7 +155,7 @@ def search_shard(tokens: np.ndarray, bounds: np.ndarray, test: Test, min_tokens:
 def _shards(batches: Iterator[pa.RecordBatch], text: int | str, test: Test, shard_tokens: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
     """Batches cut into shards by their tokens: (slices of batches, token numbers, bounds of documents)."""
     get, held, parts, bounds, size = test.vocab.get, [], [], [], 0
-    for b in batches:
+    for b in common.pieces(batches):
         since = 0
         for i, t in enumerate(b.column(text).to_pylist()):
             words = common.WORD.findall(t.lower()) if t else ()
@@ -177,7 +197,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_tokens: int = PARAMS["min
 
     Tokens count from 0. Ties go to the first place in the document, then in the item. Items under ``min_tokens`` tokens
     can't match and aren't searched. Null and empty texts match nothing; repeated rows and null ids give rows of their
-    own; other columns are ignored. An empty table on either side gives no rows. No shuffle.
+    own; other columns are ignored, whatever their names. Texts and items of any length are searched whole. An empty table on
+    either side gives no rows. No shuffle.
     """
     out = None
     for test in passes(benchmark, min_tokens, test_tokens):
@@ -199,7 +220,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_tokens: int = PARAMS["min
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_tokens: int = PARAMS["min_tokens"], shard_tokens: int = PARAMS["shard_tokens"], test_tokens: int = PARAMS["test_tokens"]) -> DataFrame:
-    """``docs`` without the rows that ``matches`` would list, all columns kept. One narrow stage a pass: no join, no shuffle."""
+    """``docs`` without the rows that ``matches`` would list, all columns kept. One narrow stage a pass: no join, no shuffle.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty benchmark removes nothing, and columns may have any
+    names; all else is as in ``matches``.
+    """
     text = docs.columns.index("text")
     schema = docs.schema
     for test in passes(benchmark, min_tokens, test_tokens):

@@ -155,7 +155,7 @@ def _post(batches: Iterator[pa.RecordBatch], files: dict[str, int], n: int, slot
         d = doc[first]
         yield from _send_runs(slot[first], [np.array(rows, dtype=np.int64)[d], counts[d].astype(np.uint32)], lengths, [h], slots)
 
-    for b in batches:
+    for b in common.pieces(batches):
         where = common.addresses(files, b.column("path"), b.column("row"))
         for r, t in zip(where.tolist(), b.column("text").to_pylist(), strict=True):
             g = gram_set(t, n, memo)

@@ -35,52 +35,63 @@ def grams_of(word: str, k: int) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], max_gram: int) -> Iterator[pa.RecordBatch]:
-    words: Counter = Counter()
-    for batch in batches:
+    words: dict[str, Counter] = {}
+    for batch in common.pieces(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if text is not None:
-                words.update((lang, w) for w in letter_words(text))
-    counts: Counter = Counter()
-    for (lang, word), n in words.items():
-        counts[lang, 0, word] += n
-        for k in range(1, max_gram + 1):
-            for g in grams_of(word, k):
-                counts[lang, k, g] += n
-    rows = list(counts.items())
-    yield pa.record_batch({"lang": pa.array([k[0] for k, _ in rows], pa.string()), "k": pa.array([k[1] for k, _ in rows], pa.int32()), "gram": pa.array([k[2] for k, _ in rows], pa.string()), "n": pa.array([n for _, n in rows], pa.int64())})
+            words.setdefault(lang, Counter()).update(letter_words(text))
+    for lang, known in words.items():
+        for k in range(max_gram + 1):
+            counts = known if k == 0 else Counter()
+            if k:
+                for word, n in known.items():
+                    for g in grams_of(word, k):
+                        counts[g] += n
+            yield pa.record_batch({"lang": pa.array([lang] * len(counts), pa.string()), "k": pa.array(np.full(len(counts), k, dtype=np.int32)), "gram": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
 class Model:
-    """Scores per language, languages in alphabetical order; tables[0] has words, tables[k] n-grams of k characters."""
+    """Scores per language, languages in alphabetical order; tables[0] has words, tables[k] n-grams of k characters.
 
-    def __init__(self, langs: list[str], tables: list[dict[str, tuple[int, ...]]]):
-        self.langs, self.tables = langs, tables
+    A table gives an n-gram's row of ``scores``. Pickled, a table is one string.
+    """
+
+    def __init__(self, langs: list[str], tables: list[dict[str, int]], scores: np.ndarray):
+        self.langs, self.tables, self.scores = langs, tables, scores
+
+    def __getstate__(self) -> tuple:
+        return self.langs, [("\n".join(t), np.fromiter(t.values(), dtype=np.int32, count=len(t))) for t in self.tables], self.scores
+
+    def __setstate__(self, state: tuple) -> None:
+        self.langs, packed, self.scores = state
+        self.tables = [dict(zip(names.split("\n"), rows.tolist(), strict=True)) if len(rows) else {} for names, rows in packed]
 
-    def word(self, word: str) -> tuple[int, ...] | None:
+    def word(self, word: str) -> np.ndarray | None:
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return self.scores[known]
         for k in range(len(self.tables) - 1, 0, -1):
             t = self.tables[k]
             found = [t[g] for g in grams_of(word, k) if g in t]
             if found:
-                return tuple(sum(x) // len(found) for x in zip(*found, strict=True))
+                return self.scores[found].sum(axis=0, dtype=np.int64) // len(found)
         return None
 
 
 def fit(docs: DataFrame, sample_rows: int = PARAMS["sample_rows"], max_gram: int = PARAMS["max_gram"], min_count: int = PARAMS["min_count"], **_: object) -> Model:
     """Fit on at most ``sample_rows`` rows of each language in column lang: those with the smallest md5 of doc_id.
 
-    The sample is chosen by ids alone (the group limit runs before the shuffle) and its texts fetched by a join with
-    those ids, of which there are at most languages x sample_rows. Rows with a null lang, text or doc_id aren't used.
+    The sample is chosen by ids alone (the group limit runs before the shuffle) and its texts fetched by a join with the
+    written table of those ids, which Spark broadcasts if that is under its threshold. Of rows with one doc_id and language
+    the least text counts. Rows with a null lang, text or doc_id aren't used; an empty table gives a model without languages.
     """
     w = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     usable = docs.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null")
-    ids = usable.select("doc_id", "lang").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample_rows).select("doc_id", "lang").distinct()
-    sample = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    ids = common.written(usable.select("doc_id", "lang").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample_rows).select("doc_id", "lang").distinct(), "sample")
+    sample = usable.join(ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     counted = sample.mapInArrow(lambda b: _count(b, max_gram), "lang string, k int, gram string, n bigint").groupBy("k", "gram", "lang").agg(F.sum("n").alias("n"))
     kept = counted.groupBy("k", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("total") >= min_count)
     got = kept.select("k", "gram", "by").toArrow()
+    common.drop(ids)
     by = got.column("by").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))
     where = np.repeat(np.arange(len(by)), np.diff(np.asarray(by.offsets)))
     names = by.flatten().field("lang").dictionary_encode()
@@ -93,14 +104,14 @@ def fit(docs: DataFrame, sample_rows: int = PARAMS["sample_rows"], max_gram: int
     for k in range(max_gram + 1):
         mine = counts[order == k]
         scores[order == k] = np.floor(1000 * np.log((mine + 0.5) / (mine.sum(axis=0) + 0.5 * len(mine))))
-    tables: list[dict[str, tuple[int, ...]]] = [{} for _ in range(max_gram + 1)]
-    for k, gram, row in zip(order.tolist(), got.column("gram").to_pylist(), scores.tolist(), strict=True):
-        tables[k][gram] = tuple(row)
-    return Model(langs, tables)
+    tables: list[dict[str, int]] = [{} for _ in range(max_gram + 1)]
+    for i, (k, gram) in enumerate(zip(order.tolist(), got.column("gram").to_pylist(), strict=True)):
+        tables[k][gram] = i
+    return Model(langs, tables, scores.astype(np.int32))
 
 
 class _Scorer:
-    MEMO = 300_000
+    MEMO = 150_000
 
     def __init__(self, model: Model):
         self.model, self.memo, self.matrix, self.used = model, {}, np.zeros((4096, len(model.langs) + 1), dtype=np.int64), 0
@@ -150,7 +161,7 @@ def identify(docs: DataFrame, model: Model, min_margin: int = PARAMS["min_margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
-        for b in batches:
+        for b in common.pieces(batches):
             out = [scorer.decide(t, min_margin) for t in b.column("text").to_pylist()]
             lang, margin, n, ok = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.record_batch({"doc_id": b.column("doc_id"), "pred_lang": pa.array(lang, pa.string()), "margin": pa.array(margin, pa.int64()), "n_scored": pa.array(n, pa.int64()), "accepted": pa.array(ok, pa.bool_())})
@@ -159,13 +170,13 @@ def identify(docs: DataFrame, model: Model, min_margin: int = PARAMS["min_margin
 
 
 def keep_identified(docs: DataFrame, model: Model, min_margin: int = PARAMS["min_margin"]) -> DataFrame:
-    """The rows of ``docs`` that ``identify`` accepts, with all their columns, in one narrow stage."""
+    """The rows of ``docs`` that ``identify`` accepts, with all their columns, in one narrow stage; its rules hold for every case."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
-        for b in batches:
+        for b in common.pieces(batches):
             yield b.filter(pa.array([scorer.decide(t, min_margin)[3] for t in b.column(text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -183,7 +194,7 @@ def _sql() -> str:
     return f"""
 with picked as (select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by md5(cast(doc_id as varchar)), doc_id) rn
     from documents where doc_id is not null and lang is not null and text is not null) where rn <= {p["sample_rows"]}),
-sample as (select lang, text from documents where text is not null and (doc_id, lang) in (select (doc_id, lang) from picked)),
+sample as (select lang, min(text) as text from documents where text is not null and (doc_id, lang) in (select (doc_id, lang) from picked) group by doc_id, lang),
 sw as (select lang, word, '_' || word || '_' as pw, count(*) as n from (select lang, unnest(regexp_extract_all(lower(text), '\\pL+')) as word from sample) group by lang, word),
 c0 as (select 0 as k, word as gram, lang, n from sw union all select k, gram, lang, sum(n)::bigint as n from ({windows}) group by k, gram, lang),
 kept as (select * from c0 where (k, gram) in (select (k, gram) from c0 group by k, gram having sum(n) >= {p["min_count"]})),
@@ -200,7 +211,7 @@ best as (select word, max(k) as k from hit group by word),
 ws as (select gram as word, lang, s from scored where k = 0 union all select h.word, h.lang, floor(h.s / h.m)::bigint as s from hit h join best b on b.word = h.word and b.k = h.k),
 ds as (select d.doc_id, w.lang, sum(d.n * w.s)::bigint as s, sum(d.n)::bigint as n from dw d join ws w on w.word = d.word group by d.doc_id, w.lang),
 rk as (select doc_id, lang, s, n, row_number() over (partition by doc_id order by s desc, lang) as r from ds),
-dec as (select a.doc_id, a.lang, a.n, floor((a.s - b.s) / a.n)::bigint as margin from rk a join rk b on a.doc_id = b.doc_id and a.r = 1 and b.r = 2)
+dec as (select a.doc_id, a.lang, a.n, coalesce(floor((a.s - b.s) / a.n)::bigint, {p["min_margin"]}) as margin from rk a left join rk b on b.doc_id = a.doc_id and b.r = 2 where a.r = 1)
 select d.doc_id, case when coalesce(e.margin, 0) >= {p["min_margin"]} then e.lang else 'und' end as pred_lang, coalesce(e.margin, 0)::bigint as margin,
     coalesce(e.n, 0)::bigint as n_scored, coalesce(e.margin, 0) >= {p["min_margin"]} as accepted
 from documents d left join dec e on e.doc_id = d.doc_id"""

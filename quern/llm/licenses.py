@@ -195,7 +195,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lower("text").alias("quern_low")).where(hit).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.pieces(batches):
             found = [(d, *m) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for m in scanner.scan(t)]
             ids, names, first, end = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "license": pa.array(names, pa.string()), "first_word": pa.array(first, pa.int64()), "n_words": pa.array([e - f for f, e in zip(first, end, strict=True)], pa.int64())})

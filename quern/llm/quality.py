@@ -106,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = PARAMS["train_rows
         m = train(x["t"].tolist(), x["quern_y"].tolist(), *(p[k] for k in ("min_df", "alpha", "c", "beta", "epochs")))
         yield pd.DataFrame([(g, *(w if isinstance(w, tuple) else (w, 0.0))) for g, w in m.items()], columns=["gram", "weight", "ratio"])
 
-    table = rows.coalesce(1).mapInPandas(run, "gram string, weight double, ratio double").toArrow()
+    # only the sample moves to the one task
+    table = rows.repartition(1).mapInPandas(run, "gram string, weight double, ratio double").toArrow()
     return {g: (w, r) for g, w, r in zip(*(table.column(k).to_pylist() for k in ("gram", "weight", "ratio")), strict=True)}
 
 
@@ -151,7 +152,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = PARAMS["threshold"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
-        for b in batches:
+        for b in common.pieces(batches):
             scores = [round(scorer.score(t), 6) for t in b.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "score": pa.array(scores, pa.float64()), "good": pa.array([s >= threshold for s in scores], pa.bool_())})
 

@@ -1,6 +1,7 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, move the fewest bytes, then rewrite affected files.
 
-A shard's documents fall into blocks of about ``block_bytes`` by a hash of doc_id. New shards have room for a number of
+A shard's documents fall into blocks by a hash of doc_id, so many that half of the slack holds one: their number depends on the
+shards and the slack, and not on the data. New shards have room for a number of
 bytes each. A flow network (source -> old shards -> new shards -> sink) with integer capacities decides how many bytes
 go from where to where: staying costs nothing, leaving costs its bytes. Blocks are then chosen to make up those bytes, and
 packed, largest first. Shards that neither lose nor gain a block keep their files. Capacities in numbers of blocks are the
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 #: Parameters in production. Old shards are the values of ``by``; slack: room beyond an even share, in units of ``capacity``.
-PARAMS = {"by": "source", "n_shards": 24, "block_bytes": 1 << 18, "slack": 0.02, "capacity": "bytes"}
+PARAMS = {"by": "source", "n_shards": 24, "block_bytes": None, "slack": 0.02, "capacity": "bytes"}
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], s: int, t: int, amount: int) -> list[int]:
@@ -204,12 +205,12 @@ def _bytes(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
-def reshard(docs: DataFrame, by: str = PARAMS["by"], n_shards: int = PARAMS["n_shards"], block_bytes: int = PARAMS["block_bytes"], slack: float = PARAMS["slack"], capacity: str = "blocks") -> DataFrame:
+def reshard(docs: DataFrame, by: str = PARAMS["by"], n_shards: int = PARAMS["n_shards"], block_bytes: int | None = PARAMS["block_bytes"], slack: float = PARAMS["slack"], capacity: str = "blocks") -> DataFrame:
     """Each row as struct quern_row, with quern_shard (old), quern_block, quern_to (new) and quern_rewritten.
 
     Old shards are numbered by ``by`` in order, null first, and shard k may stay new shard k. With capacity "bytes" each
-    new shard takes (1 + slack) * bytes / n_shards bytes, see ``pack_blocks``; blocks are smaller than ``block_bytes`` where
-    half of the slack is. With capacity "blocks" it takes ceil((1 + slack) * blocks / n_shards) blocks of whatever size; ties
+    new shard takes (1 + slack) * bytes / n_shards bytes, see ``pack_blocks``. Blocks are of about ``block_bytes``, or of half of the
+    slack: then there are at most 2 * n_shards / slack of them and one for each old shard. A very long text makes a block larger. With capacity "blocks" it takes ceil((1 + slack) * blocks / n_shards) blocks of whatever size; ties
     between blocks of one size go to the smaller number. A shard whose texts are all empty or null is one block. Rows with
     the same doc_id share a block, and so do rows with a null doc_id, as do repeated rows. An empty table gives no rows.
 
@@ -221,8 +222,8 @@ def reshard(docs: DataFrame, by: str = PARAMS["by"], n_shards: int = PARAMS["n_s
     sizes = docs.groupBy(F.col(by).alias("name")).agg(F.sum(_bytes("text")).alias("bytes"))
     shards = [(r["name"], r["bytes"]) for r in sizes.collect()]
     shards.sort(key=lambda x: (x[0] is not None, x[0]))
-    if capacity == "bytes":
-        block_bytes = max(1, min(block_bytes, int(max(slack, 1 / 64) * sum(b for _, b in shards) / n_shards / 2)))
+    if block_bytes is None:
+        block_bytes = max(1, int(max(slack, 1 / 64) * sum(b for _, b in shards) / n_shards / 2))
     counts = [max(1, -(-b // block_bytes)) for _, b in shards]
     # written, so that Spark knows their sizes and needn't shuffle text to join them
     known = common.written(spark.createDataFrame([(name, i, k) for i, ((name, _), k) in enumerate(zip(shards, counts, strict=True))], f"name {dict(docs.dtypes)[by]}, shard int, n_blocks bigint"), "shards")
@@ -259,7 +260,8 @@ def rewrite(spark: SparkSession, src: str, dst: str, **params: object) -> list[i
     """Reshard the Parquet data set at ``src`` (folders old_shard=K, as ``place`` numbers them) into ``dst`` (folders shard=K).
 
     Only affected shards are read for their rows and written anew; the files of others are copied as they are. Returns the
-    affected shards.
+    affected shards. Null and empty texts, ties, repeated rows and clashing names are as in ``reshard``; folders decide the old
+    shard, and an empty data set has none.
     """
     docs = spark.read.parquet(src)
     p = PARAMS | params | {"by": "old_shard"}

@@ -61,3 +61,13 @@ def test_empty(spark, table):
     assert contamination.matches(docs, none).count() == 0 and contamination.keep_clean(docs, none).count() == len(EDGES)
     some = spark.createDataFrame([(1, "a b c d e f g h")], "item_id bigint, text string")
     assert contamination.matches(spark.read.parquet(table([])), some).count() == 0
+
+
+def test_long_item(spark, table):
+    """An item of 20,000 tokens, matched over 15,000 of them; memory follows its length and not its square."""
+    words = [f"t{i}" for i in range(20_000)]
+    test = contamination.Test([(1, words), (2, words[:9])], 8)
+    assert test.tokens.nbytes < 100_000 and len(test.place) == 19_993 + 2
+    docs = [(5, "zz " + " ".join(words[2000:17_000]) + " zz"), (6, " ".join(words[:7])), (7, "")]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    assert run(spark, table(docs), bench, 8) == [(5, 1, 15_000, 1, 2000)]
