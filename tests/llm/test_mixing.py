@@ -28,18 +28,30 @@ def brute(rows, p):
             share[c[i]] += n / total
         g = {k: v ** p[f"{m}_power"] for k, v in share.items()}
         goals.append({k: v / sum(g.values()) for k, v in g.items()})
-    for _ in range(p["rounds"]):
+    for _ in range(500):
         for i, goal in enumerate(goals):
             have = defaultdict(float)
             for c, x in w.items():
                 have[c[i]] += x
             w = {c: x * goal[c[i]] / have[c[i]] for c, x in w.items()}
     f = {c: w[c] * total / tokens[c] for c in w}
-    low, high = 0.0, 1e9
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if sum(min(1, mid * f[c]) * tokens[c] for c in f) < p["keep"] * total else (low, mid)
-    prob = {c: min(1.0, low * f[c]) for c in f}
+    def shares(keep):
+        low, high = 0.0, 1e9
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(1, mid * f[c]) * tokens[c] for c in f) < keep * total else (low, mid)
+        prob = {c: min(1.0, low * f[c]) for c in f}
+        drawn = sum(prob[c] * tokens[c] for c in f)
+        off = max((abs(sum(prob[c] * tokens[c] for c in f if c[i] == k) / drawn - v) for i, goal in enumerate(goals) for k, v in goal.items()), default=0)
+        return off, prob
+
+    prob = {}
+    for k in range(round(100 * p["keep"]), 0, -1):
+        off, prob = shares(k / 100) if f else (0, {})
+        if off <= p["tolerance"]:
+            break
+    else:
+        _, prob = shares(min(0.01, 1 / max(f.values())))
     u = lambda r: int(md5((p["seed"] + (str(r[0]) if r[0] is not None else r[1] or "")).encode()).hexdigest()[:13], 16) / 16**13
     return prob, [r for r in rows if cell(r) in prob and u(r) < prob[cell(r)]], (w, goals)
 
@@ -65,9 +77,9 @@ def test_raking_meets_margins():
     codes = [np.unique([c[i] for c in cells], return_inverse=True)[1] for i in range(3)]
     tokens = np.ones(len(cells))
     targets = [np.array([g[k] for k in sorted(g)]) for g in goals]
-    raked = mixing.rake(tokens, codes, targets, 200)
+    raked = mixing.rake(tokens, codes, targets)
     for code, target in zip(codes, targets, strict=True):
-        assert np.allclose(np.bincount(code, weights=raked), target, atol=1e-6)
+        assert np.allclose(np.bincount(code, weights=raked), target, atol=1e-11)
 
 
 def test_calibration():
@@ -85,6 +97,11 @@ def test_edges(spark, table):
     assert mixing.mix(spark.read.parquet(table([]))).count() == 0 and mixing.mix_plan(spark.read.parquet(table([]))).count() == 0
 
 
+def test_raking_ends_where_margins_contradict():
+    w = mixing.rake(np.array([1, 1]), [np.array([0, 1]), np.array([0, 1]), np.array([0, 0])], [np.array([0.5, 0.5]), np.array([0.3, 0.7]), np.array([1.0])])
+    assert np.isfinite(w).all() and (w > 0).all()
+
+
 def test_tolerance_reaches_targets_on_a_hot_source(spark, table):
     """Shares of the tokens really drawn, against the targets, where one source holds most tokens."""
     rows = [(i, " ".join(["w"] * (20 if i % 10 else 7)) + (" ###" if i % 11 == 0 else ""), ["en", "de", "en"][i % 3], "hot" if i % 10 else f"s{i // 10 % 4}") for i in range(20_000)]
@@ -95,5 +112,17 @@ def test_tolerance_reaches_targets_on_a_hot_source(spark, table):
         got = mixing.mix_plan(docs, **params).toPandas()
         return max(abs(got.loc[got[m] == k, "n_tokens"].sum() / got["n_tokens"].sum() - v) for m, goal in zip(mixing.MARGINS, goals, strict=True) for k, v in goal.items())
 
-    assert off() > 0.05
-    assert off(tolerance=0.01) < 0.025
+    assert off(tolerance=1.0) > 0.05
+    assert off() < 0.025
+
+
+def test_drawn_shares_meet_targets(spark):
+    """On the largest table of the tests, with the query's own parameters."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = mixing.mix_plan(docs, **mixing.PARAMS).toPandas()
+    cells = mixing.cell_plan(docs).toPandas()
+    for m in mixing.MARGINS:
+        drawn = got.groupby(m)["n_tokens"].sum() / got["n_tokens"].sum()
+        want, expected = cells.groupby(m)["target"].sum(), cells.groupby(m)["expected"].sum()
+        assert (expected - want).abs().max() <= 0.01
+        assert (drawn - want).abs().max() <= 0.015
