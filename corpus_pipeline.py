@@ -1,4 +1,10 @@
-"""From raw documents to a placed training set: STAGES in order, each reading what the one before it wrote."""
+"""From raw documents to a placed training set: STAGES in order, each reading what the one before it wrote.
+
+Every stage takes any rows: a null or empty text has no language and goes in the first stage; very long texts count whole; ties are
+settled by the smallest doc_id, then by the place in the files (null ids last); repeated rows are copies of each other, of
+which one stays; a null source or language is a value of its own; columns of any other name, also of one that a stage uses itself, are
+carried along; an empty table gives an empty one with the same columns, and old_shard and new_shard.
+"""
 
 from __future__ import annotations
 
@@ -45,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are written to the shared folder and read again, and those of the stage before deleted."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
