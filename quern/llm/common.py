@@ -77,6 +77,31 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             _written.remove(path)
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file: written beside it and then renamed."""
+    p, fs = _at(spark, path)
+    new, _ = _at(spark, f"{path}.new")
+    out = fs.create(new, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(new, p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,8 @@
 """Exact de-duplication by a stateful stream.
 
 Documents stream in, keyed by digest. The state (RocksDB, on the executors' disks, checkpointed to the shared folder)
-keeps for each digest the document that came first: its identifier and the locator of its content, file and row. Nothing expires. A
-digest seen before is a hit; hits are settled by comparing full bytes, fetched by locator, so that documents of one
+keeps for each digest the document that came first: its identifier and the locator of its content, file and row. Nothing expires, and
+a state with a name outlives the call: the next one takes in only the files that have come since. A digest seen before is a hit; hits are settled by comparing full bytes, fetched by locator, so that documents of one
 digest and different content are told apart.
 """
 
@@ -31,13 +31,16 @@ def sha(text: str) -> Column:
     return F.unhex(F.sha2(F.col(text), 256))
 
 
-def _streamed(spark: SparkSession, path: str, files_per_batch: int, digest: Callable[[str], Column]) -> DataFrame:
-    """A written table with one row for each digest: (digest, kept), kept being arrival, identifier and locator of the first document.
+KEPT = "digest binary, kept struct<arrived timestamp, id_null boolean, doc_id bigint, path string, row bigint>, batch int"
+
+
+def _streamed(spark: SparkSession, path: str, files_per_batch: int, digest: Callable[[str], Column], base: str) -> DataFrame:
+    """The table in ``base`` with one row for each digest: (digest, kept), kept being arrival, identifier and locator of the first document.
 
     Arrival is the batch's time: a document of a later batch never displaces one that is kept. The first of a batch is the
-    smallest doc_id (null last), then the first locator.
+    smallest doc_id (null last), then the first locator. A batch that is run again after a failure writes its own folder anew.
     """
-    out, log = common.scratch_path(spark, "first"), common.scratch_path(spark, "stream")
+    out, log = f"{base}/first", f"{base}/log"
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
@@ -56,14 +59,8 @@ def _streamed(spark: SparkSession, path: str, files_per_batch: int, digest: Call
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    common.release(spark, [log])
-    kept = "digest binary, kept struct<arrived timestamp, id_null boolean, doc_id bigint, path string, row bigint>, batch int"
-    try:
-        return spark.read.schema(kept).parquet(out)
-    except Exception as e:  # no batch ran: an empty table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], kept)
+    # without any file no batch ran
+    return spark.read.schema(KEPT).parquet(out) if common.exists(spark, out) else spark.createDataFrame([], KEPT)
 
 
 def _bitmap(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
@@ -77,15 +74,19 @@ def _bitmap(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
     return keys.sparkSession.createDataFrame([(dense.tolist(),)], "quern_bits array<bigint>"), size
 
 
-def dedup(spark: SparkSession, path: str, files_per_batch: int = PARAMS["files_per_batch"], digest: Callable[[str], Column] = sha) -> DataFrame:
+def dedup(spark: SparkSession, path: str, files_per_batch: int = PARAMS["files_per_batch"], digest: Callable[[str], Column] = sha, state: str | None = None) -> DataFrame:
     """(doc_id, keep_id, duplicate) of every row of the Parquet table at ``path``.
 
-    keep_id is the doc_id of the first row with the same bytes, in order of arrival; of a batch's rows the smallest doc_id (null last), then
-    the first in its files. duplicate is true for all rows but that one. Null texts equal nothing and are never
-    duplicates; empty texts equal each other. Repeated rows are duplicates of the first of them. Other columns
-    are ignored. An empty table gives no rows. Texts of any length are compared whole.
+    keep_id is the smallest doc_id (null last) of the rows with the same bytes; duplicate is true for all of them but the first
+    with that id in the table's files. The number of batches doesn't change the result. With a ``state``, the stream and what it keeps
+    stay under that name in the shared folder; a later call for the same folder streams only its new files, and a row
+    of an earlier batch is kept whatever its doc_id, so that what was kept once isn't displaced.
+
+    Null texts equal nothing and are never duplicates; empty texts equal each other. Repeated rows are duplicates of the first of
+    them. Other columns are ignored, whatever their names. An empty table gives no rows. Texts of any length are compared whole.
     """
-    first = _streamed(spark, path, files_per_batch, digest)
+    base = common.scratch_path(spark, "exact") if state is None else f"{common.shared_dir(spark)}/quern-state-exact-{state}"
+    first = _streamed(spark, path, files_per_batch, digest, base)
     docs = spark.read.parquet(path)
     where = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")]
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest("text").alias("digest"), *where)
@@ -94,14 +95,19 @@ def dedup(spark: SparkSession, path: str, files_per_batch: int = PARAMS["files_p
     # full bytes: hits and the documents they hit, by locator
     hits = told.where("hit")
     wanted = common.written(hits.select("digest", "path", "row", "doc_id", F.lit(1).alias("late")).unionByName(hits.select("digest", F.col("k_path").alias("path"), F.col("k_row").alias("row"), F.col("k_id").alias("doc_id"), F.lit(0).alias("late")).distinct()), "wanted")
+    if state is None:
+        common.release(spark, [base])
     # a bitmap of the hits' digests, at most 8 MB whatever their number, keeps most other texts out of the shuffle
     bits, size = _bitmap(hits.select("digest"), "digest")
     near = docs.select("text", *where, F.pmod(F.xxhash64(digest("text")), F.lit(size)).alias("quern_b")).join(F.broadcast(bits), F.expr("shiftright(quern_bits[int(quern_b / 64)], int(quern_b % 64)) & 1 = 1")).drop("quern_bits", "quern_b")
     content = near.join(wanted, ["path", "row"]).select("digest", "text", F.struct("late", F.col("doc_id").isNull().alias("id_null"), "doc_id", "path", "row").alias("e"))
     content = common.written(content, "content")
+    if state is None:
+        content = content.withColumn("e", F.col("e").withField("late", F.lit(0)))
     by_bytes = content.groupBy("digest", "text").agg(F.min("e").alias("f"))
-    settled = content.join(by_bytes, ["digest", "text"]).where("e.late = 1").select(F.col("e.doc_id").alias("doc_id"), F.col("f.doc_id").alias("keep_id"), (F.col("e") != F.col("f")).alias("duplicate"))
-    return told.where("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(False).alias("duplicate")).unionByName(settled)
+    settled = content.join(by_bytes, ["digest", "text"]).select(F.col("e.doc_id").alias("doc_id"), F.col("f.doc_id").alias("keep_id"), (F.col("e") != F.col("f")).alias("duplicate"))
+    rest = told.where("not hit").join(wanted.where("late = 0").select("path", "row"), ["path", "row"], "left_anti")
+    return rest.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(False).alias("duplicate")).unionByName(settled)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ reduced to its own first occurrences, merge-anti-joined with every run, and what
 level has ``fanout`` runs they are merged into one run of the next level, so that n batches leave about
 fanout * log(n) runs, and each line is rewritten about log(n) times.
 
+Runs with a name outlive the call: a file in the shared folder lists them, and the next delivery is de-duplicated against them.
+
 Runs are bucketed alike, so neither the joins nor the compaction shuffle them. Each entry keeps the place of the line it
 stands for; the runs together are the lines that stay.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -27,51 +30,64 @@ PARAMS = {"batches": 4, "fanout": 2}
 _LINE = "batch int, id_null boolean, doc_id bigint, row bigint, line int, h1 bigint, h2 bigint"
 _KEY = ["h1", "h2"]
 _PLACE = ("id_null", "doc_id", "row", "line")
+_RUN = "h1 bigint, h2 bigint, id_null boolean, doc_id bigint, row bigint, line int, delivery int"
 
 
 class Runs:
-    """Levelled runs of line hashes in the shared folder."""
+    """Levelled runs of line hashes in the shared folder. With a ``name``, those that it had before are opened again.
+
+    The list of runs is replaced when a batch is in, and only then are merged runs deleted: after a failure the
+    list still names whole runs.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = PARAMS["fanout"]):
+    def __init__(self, spark: SparkSession, fanout: int = PARAMS["fanout"], name: str | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[str]] = []
-        self.paths: dict[str, str] = {}
+        self.delivery = 0
+        self.base = f"{common.shared_dir(spark)}/quern-state-lines-{name or uuid.uuid4().hex}"
+        self.list = f"{self.base}/runs.json"
+        if name is not None and common.exists(spark, self.list):
+            known = json.loads(common.read_text(spark, self.list))
+            self.levels, self.buckets, self.delivery = known["levels"], known["buckets"], known["delivery"] + 1
+            for run in self.names():
+                spark.sql(f"create table if not exists {run} ({_RUN}) using parquet clustered by (h1, h2) sorted by (h1, h2) into {self.buckets} buckets location '{self.base}/{run}'")
 
     def _write(self, df: DataFrame) -> str:
         name = f"quern_run_{uuid.uuid4().hex}"
-        self.paths[name] = common.scratch_path(self.spark, "run")
-        df.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", self.paths[name]).saveAsTable(name)
+        df.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", f"{self.base}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"drop table if exists {name}")
-        common.release(self.spark, [self.paths.pop(name)])
+        common.release(self.spark, [f"{self.base}/{name}"])
 
     def names(self) -> list[str]:
         return [n for level in self.levels for n in level]
 
     def add(self, batch: DataFrame) -> None:
         """Take in a batch of (h1, h2, id_null, doc_id, row, line): of each new hash pair its first place."""
-        fresh = batch.groupBy(*_KEY).agg(F.min(F.struct(*_PLACE)).alias("at")).select(*_KEY, *(F.col(f"at.{c}") for c in _PLACE))
+        fresh = batch.groupBy(*_KEY).agg(F.min(F.struct(*_PLACE)).alias("at")).select(*_KEY, *(F.col(f"at.{c}") for c in _PLACE), F.lit(self.delivery).alias("delivery"))
         for name in self.names():
             fresh = fresh.join(self.spark.table(name).select(*_KEY).hint("merge"), _KEY, "left_anti")
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(fresh))
+        levels, merged = [*map(list, self.levels)] or [[]], []
+        levels[0].append(self._write(fresh))
         at = 0
-        while len(self.levels[at]) >= self.fanout:
-            merged = self.spark.table(self.levels[at][0])
-            for name in self.levels[at][1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            new = self._write(merged)
-            for name in self.levels[at]:
-                self._drop(name)
-            self.levels[at] = []
-            if at + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[at + 1].append(new)
+        while len(levels[at]) >= self.fanout:
+            union = self.spark.table(levels[at][0])
+            for name in levels[at][1:]:
+                union = union.unionByName(self.spark.table(name))
+            new = self._write(union)
+            merged += levels[at]
+            levels[at] = []
+            if at + 1 == len(levels):
+                levels.append([])
+            levels[at + 1].append(new)
             at += 1
+        self.levels = levels
+        common.write_text(self.spark, self.list, json.dumps({"levels": levels, "buckets": self.buckets, "delivery": self.delivery}))
+        for name in merged:
+            self._drop(name)
 
     def all(self) -> DataFrame | None:
         out = None
@@ -80,10 +96,13 @@ class Runs:
             out = t if out is None else out.unionByName(t)
         return out
 
-    def close(self) -> None:
+    def close(self, delete: bool = True) -> None:
+        """Forget the runs; with ``delete`` their files go too."""
         for name in self.names():
-            self._drop(name)
+            self.spark.sql(f"drop table if exists {name}")
         self.levels = []
+        if delete:
+            common.release(self.spark, [self.base])
 
 
 def _hash(batches: Iterator[pa.RecordBatch], files: dict[str, int], bounds: list[int]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +139,15 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
 
 
-def dedup_lines(docs: DataFrame, batches: int = PARAMS["batches"], fanout: int = PARAMS["fanout"]) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = PARAMS["batches"], fanout: int = PARAMS["fanout"], state: str | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of each row of ``docs``: of equal lines in all documents only the first stays.
 
     Lines are told apart exactly, as 128-bit hashes of their bytes. First means the smallest doc_id (null last), then the first row in
     the input's files, then the first line. Lines of nothing but blanks and tabs always stay. A null text stays null, with
     0 lines; an empty one is one empty line. Repeated rows lose all lines but their first row's. Other columns are ignored.
     An empty table gives no rows. Whole texts of any length are read. Batches and compaction don't change the result.
+
+    With a ``state`` the runs stay under that name in the shared folder: lines of an earlier call's documents are then seen lines.
     """
     spark = docs.sparkSession
     docs, files = common.addressed(docs)
@@ -136,13 +157,13 @@ def dedup_lines(docs: DataFrame, batches: int = PARAMS["batches"], fanout: int =
     path = common.scratch_path(spark, "lines")
     source.mapInArrow(lambda b: _hash(b, files, bounds), _LINE).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(_LINE).parquet(path)
-    runs = Runs(spark, fanout)
+    runs = Runs(spark, fanout, state)
     try:
         for k in range(len(bounds) + 1):
             runs.add(lines.where(F.col("batch") == k))
-        kept = common.written(runs.all().groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("stays")), "kept-lines")
+        kept = common.written(runs.all().where(F.col("delivery") == runs.delivery).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("stays")), "kept-lines")
     finally:
-        runs.close()
+        runs.close(delete=state is None)
     common.release(spark, [path])
 
     def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

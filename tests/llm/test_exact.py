@@ -57,3 +57,21 @@ def test_edges(spark, table):
     assert exact.dedup(spark, table([])).count() == 0
     settings = [spark.conf.get(k, None) for k in exact._STATE]
     assert "RocksDB" not in str(settings[0])
+
+
+def test_second_delivery_meets_the_first(spark, table, tmp_path):
+    """A named state outlives the call: new files are held against what was kept, old ones aren't streamed again."""
+    folder = tmp_path / "docs"
+    parts = [[(10, "a"), (11, "b"), (12, "a"), (13, None)], [(1, "a"), (2, "c"), (3, "c"), (4, "")]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(folder / f"d{k}"))
+        got = {r["doc_id"]: (r["keep_id"], r["duplicate"]) for r in exact.dedup(spark, f"{folder}/d*", state=f"t{tmp_path.name}").collect()}
+        assert got[10] == (10, False) and got[12] == (10, True) and got[11] == (11, False) and got[13] == (13, False)
+    assert got[1] == (10, True) and got[2] == (2, False) and got[3] == (2, True) and got[4] == (4, False) and len(got) == 8
+
+
+def test_batches_do_not_change_the_result(spark, table):
+    rows = corpus()
+    path = table(rows[::-1], files=5)
+    one, many = (sorted((tuple(r) for r in exact.dedup(spark, path, files_per_batch=k).collect()), key=str) for k in (99, 1))
+    assert one == many

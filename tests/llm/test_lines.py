@@ -53,3 +53,13 @@ def test_edges(spark, table):
     assert got == brute(EDGES)
     assert (4, LONG, 1, 0) in got
     assert run(spark, table([])) == []
+
+
+def test_second_delivery_meets_the_first(spark, table, tmp_path):
+    """Named runs outlive the call, and the session's tables."""
+    name = f"t{tmp_path.name}".replace("-", "_")
+    one, two = table([(5, "a\nb"), (6, "b\nc")]), table([(1, "c\nd"), (2, "d\na\ne"), (3, None)])
+    assert run(spark, one, state=name) == [(5, "a\nb", 2, 0), (6, "c", 2, 1)]
+    assert run(spark, two, state=name) == [(1, "d", 2, 1), (2, "e", 3, 2), (3, None, 0, 0)]
+    assert run(spark, two, state=name) == [(1, "", 2, 2), (2, "", 3, 3), (3, None, 0, 0)]
+    lines.Runs(spark, name=name).close()
