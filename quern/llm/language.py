@@ -65,16 +65,17 @@ class Model:
         self.langs, packed, self.scores = state
         self.tables = [dict(zip(names.split("\n"), rows.tolist(), strict=True)) if len(rows) else {} for names, rows in packed]
 
-    def word(self, word: str) -> np.ndarray | None:
+    def grams(self, word: str) -> list[int]:
+        """Rows of scores whose mean is the word's: its own if it is known, else of its longest known n-grams; none if it has none."""
         known = self.tables[0].get(word)
         if known is not None:
-            return self.scores[known]
+            return [known]
         for k in range(len(self.tables) - 1, 0, -1):
             t = self.tables[k]
             found = [t[g] for g in grams_of(word, k) if g in t]
             if found:
-                return self.scores[found].sum(axis=0, dtype=np.int64) // len(found)
-        return None
+                return found
+        return []
 
 
 def fit(docs: DataFrame, sample_rows: int = PARAMS["sample_rows"], max_gram: int = PARAMS["max_gram"], min_count: int = PARAMS["min_count"], **_: object) -> Model:
@@ -111,28 +112,37 @@ def fit(docs: DataFrame, sample_rows: int = PARAMS["sample_rows"], max_gram: int
 
 
 class _Scorer:
-    MEMO = 150_000
+    MEMO = 250_000
 
     def __init__(self, model: Model):
-        self.model, self.memo, self.matrix, self.used = model, {}, np.zeros((4096, len(model.langs) + 1), dtype=np.int64), 0
+        self.model, self.memo, self.matrix, self.used = model, {}, np.zeros((4096, len(model.langs) + 1), dtype=np.int32), 0
 
-    def _row(self, word: str) -> int:
-        if self.used == len(self.matrix):
+    def _learn(self, words: list[str]) -> None:
+        """Rows of the matrix for new words, all at once: scores and whether there are any."""
+        while self.used + len(words) > len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        scores = self.model.word(word)
-        self.matrix[self.used] = 0 if scores is None else (*scores, 1)
-        self.memo[word] = self.used
-        self.used += 1
-        return self.used - 1
+        found = [self.model.grams(w) for w in words]
+        counts = np.array([len(f) for f in found], dtype=np.int64)
+        some = np.flatnonzero(counts)
+        self.matrix[self.used : self.used + len(words)] = 0
+        if len(some):
+            flat = np.fromiter((g for f in found for g in f), dtype=np.int64, count=int(counts.sum()))
+            sums = np.add.reduceat(self.model.scores[flat], (np.cumsum(counts) - counts)[some], axis=0, dtype=np.int64)
+            self.matrix[self.used + some, :-1] = sums // counts[some][:, None]
+            self.matrix[self.used + some, -1] = 1
+        self.memo.update(zip(words, range(self.used, self.used + len(words)), strict=True))
+        self.used += len(words)
 
     def sums(self, text: str) -> np.ndarray:
         """Sum of scores per language, and last the number of scored words."""
         if self.used > self.MEMO:
             self.memo, self.used = {}, 0
-        memo, row = self.memo, self._row
         words = letter_words(text)
-        rows = np.fromiter((memo[w] if w in memo else row(w) for w in words), dtype=np.int64, count=len(words))
-        return self.matrix[rows].sum(axis=0)
+        new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        if new:
+            self._learn(new)
+        rows = np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.matrix[rows].sum(axis=0, dtype=np.int64)
 
     def decide(self, text: str | None, min_margin: int) -> tuple[str, int, int, bool]:
         """Language or 'und', mean margin over the second language, scored words, whether accepted."""
