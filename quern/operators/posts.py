@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,15 +22,28 @@ def _any(c: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def clean_body(body: Column) -> Column:
     """Lines without subject lines and notes about the text, 'body:' unwrapped, ended at a sign-off or rule; blank if no text."""
     lines = F.filter(F.transform(F.split(body, "\r\n|\r|\n"), text.strip), lambda s: s != "")
     lines = F.filter(lines, lambda s: ~F.startswith(F.lower(s), F.lit("subject:")))
     lines = F.transform(lines, lambda s: F.when(F.startswith(F.lower(s), F.lit("body:")), text.strip(F.substring(s, 6, 2147483647))).otherwise(s))
+    return _let(lines, lambda x: _without_notes(x, body))
+
+
+def _without_notes(lines: Column, body: Column) -> Column:
     ends = F.transform(lines, lambda s: text.starts_with_any(F.lower(s), ("best regards", "regards,", "sincerely")) | F.startswith(s, F.lit("---")))
     stop = F.array_position(ends, True)
     lines = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
     lines = F.filter(lines, lambda s: ~_any(F.lower(s), MARKERS))
+    return _let(lines, lambda x: _joined(x, body))
+
+
+def _joined(lines: Column, body: Column) -> Column:
     return F.coalesce(text.squeeze(F.when(F.size(lines) > 0, F.array_join(lines, " ")).otherwise(body)), F.lit(""))
 
 
@@ -55,7 +70,10 @@ def trim_words(body: Column, outreach: Column) -> Column:
     limit = F.lit(lexicon.DEFAULT_LIMIT)
     for k, v in lexicon.WORD_LIMITS.items():
         limit = F.when(outreach == k, v).otherwise(limit)
-    w = text.words(body)
+    return _let(text.words(body), lambda w: _cut(w, body, limit))
+
+
+def _cut(w: Column, body: Column, limit: Column) -> Column:
     return F.when(F.size(w) <= limit, body).otherwise(F.concat(F.regexp_replace(F.array_join(F.slice(w, F.lit(1), limit), " "), "[ ,;:-]+$", ""), F.lit(".")))
 
 
@@ -71,5 +89,6 @@ def normalize_subject(subject: Column) -> Column:
 def postprocess(subject: Column, body: Column, outreach: Column, required: Column, stage: Column, roles: Column, fallback: Column) -> Column:
     """Struct (subject, body) after all steps in order; an empty body becomes the fallback."""
     kind = F.lower(F.coalesce(outreach, F.lit("cold")))
-    b = text.squeeze(trim_words(single_cta(require_phrase(clean_body(body), required, stage, roles)), kind))
-    return F.struct(normalize_subject(subject).alias("subject"), F.when(b == "", fallback).otherwise(b).alias("body"))
+    grounded = _let(clean_body(body), lambda b: require_phrase(b, required, stage, roles))
+    trimmed = _let(_let(grounded, single_cta), lambda b: text.squeeze(trim_words(b, kind)))
+    return F.struct(normalize_subject(subject).alias("subject"), _let(trimmed, lambda b: F.when(b == "", fallback).otherwise(b)).alias("body"))

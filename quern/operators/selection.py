@@ -44,11 +44,17 @@ def accept_quota(df: DataFrame, by: str, pos: str, targets: Column) -> DataFrame
     return df.withColumn("quern_rn", F.row_number().over(Window.partitionBy(by).orderBy(pos))).where(F.col("quern_rn") <= targets).drop("quern_rn")
 
 
-def dedupe(df: DataFrame, key: str, pos: str, last: bool = False) -> DataFrame:
-    """One row a key, the first (or last) by pos; keys are trimmed, null and blank ones dropped."""
+def dedupe(df: DataFrame, key: str, pos: str, last: bool = False, dropped: str | None = None) -> DataFrame:
+    """One row a key, the first (or last) by pos; keys are trimmed, null and blank ones dropped.
+
+    dropped: name of a column for the number of rows of the key that went.
+    """
     k = F.trim(F.col(key).cast("string"))
     order = F.desc(pos) if last else F.asc(pos)
-    return df.where(k.isNotNull() & (k != "")).withColumn("quern_rn", F.row_number().over(Window.partitionBy(k).orderBy(order))).where("quern_rn = 1").drop("quern_rn")
+    out = df.where(k.isNotNull() & (k != "")).withColumn("quern_rn", F.row_number().over(Window.partitionBy(k).orderBy(order)))
+    if dropped:
+        out = out.withColumn(dropped, F.count("*").over(Window.partitionBy(k)) - 1)
+    return out.where("quern_rn = 1").drop("quern_rn")
 
 
 def lookup(df: DataFrame, outputs: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:

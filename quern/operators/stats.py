@@ -34,12 +34,13 @@ def bootstrap(diffs: DataFrame, order: str, iterations: int = 5000, seed: int =
     spark = diffs.sparkSession
     n = F.size("d")
     draw = lambda j: F.element_at("d", (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("it"), j), 256), 1, 8), 16, 10).cast("bigint") % n + 1).cast("int"))
-    it = spark.range(iterations).select(F.col("id").alias("it")).crossJoin(arr.where(n > 0))
-    mean = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), draw), F.lit(0.0), lambda s, v: s + v) / n
-    r = it.select(mean.alias("m"))
-    agg = r.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.count_if(F.col("m") <= 0).alias("le"), F.count_if(F.col("m") >= 0).alias("ge"))
+    # the array is used once, so that what makes the differences runs once; its one row meets the iterations
+    it = spark.range(0, iterations, 1, spark.sparkContext.defaultParallelism).select(F.col("id").alias("it")).crossJoin(F.broadcast(arr))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    mean = F.when(n > 0, total(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), draw)) / n)
+    r = it.select(mean.alias("m"), n.alias("n"), F.when(n > 0, total(F.col("d")) / n).otherwise(0.0).alias("mean_diff"))
     p = lambda c: (F.coalesce(F.col(c), F.lit(0)) + 1) / F.lit(iterations + 1)
-    out = arr.select(n.alias("n"), F.when(n > 0, F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / n).otherwise(0.0).alias("mean_diff")).crossJoin(agg)
+    out = r.agg(F.first("n").alias("n"), F.first("mean_diff").alias("mean_diff"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.count_if(F.col("m") <= 0).alias("le"), F.count_if(F.col("m") >= 0).alias("ge"))
     none = F.col("n") == 0
     return out.select(
         F.col("n").cast("bigint").alias("n"), F.round("mean_diff", 6).alias("mean_diff"), F.round(F.coalesce("lo", F.lit(0.0)), 6).alias("ci_low"), F.round(F.coalesce("hi", F.lit(0.0)), 6).alias("ci_high"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import safe, text
+from quern.functions import lexicon, safe, text
 from quern.operators import overlap, posts, preferences, prompts, rubric, selection, splits, stats, synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,25 +89,33 @@ def word_count_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(text.word_count(t)).cast("bigint").alias("n_words"), F.sum(text.token_estimate(t)).alias("token_estimate"))
 
 
-_ASK_WORDS = ("book", "schedule", "the", "que", "der")
+_TALK = "text || case turn % 3 when 0 then '' when 1 then ' Could we book a call? Would you schedule it, or reply with a time?' else ' Are you open to it.' end"
 
 
-@query("select conv_id, turn, (contains(text, '?')::int + " + " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in _ASK_WORDS) + ")::int as asks from conversations")
+def _talk() -> Column:
+    """Conversation texts, two thirds of them with asks of several kinds."""
+    end = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, " Could we book a call? Would you schedule it, or reply with a time?").otherwise(" Are you open to it.")
+    return F.concat("text", end)
+
+
+@query(f"select conv_id, turn, (contains(t, '?')::int + {' + '.join(f"len(regexp_extract_all(trim(regexp_replace(lower(t), '[ {chr(10)}{chr(9)}{chr(13)}]+', ' ', 'g')), '{p}'))" for p in lexicon.ASKS)})::int as asks from (select conv_id, turn, {_TALK} as t from conversations)")
 def ask_count(spark: SparkSession, d: str) -> DataFrame:
-    """The counting rule of the rubric's asks, with words that these texts hold."""
-    n = text.normalize(F.col("text"))
-    c = F.contains("text", F.lit("?")).cast("int")
-    for w in _ASK_WORDS:
-        c = c + F.regexp_count(n, F.lit(w))
-    return read(spark, d, "conversations").select("conv_id", "turn", c.cast("int").alias("asks"))
+    """The rubric's count of asks."""
+    return read(spark, d, "conversations").select("conv_id", "turn", rubric.count_asks(_talk(), text.normalize(_talk())).cast("int").alias("asks"))
+
 
+_NG3 = "select {key}, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) as phrase from (select {key}, regexp_extract_all(lower(text), '\\S+') as w from {t}) where len(w) >= 3"
 
-@query("with p as (select distinct array_to_string(regexp_extract_all(lower(text), '\\S+')[1:3], ' ') as phrase from benchmark) select doc_id, phrase from documents, p where contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), phrase)")
+
+@query(f"with l as (select distinct phrase from ({_NG3.format(key='item_id', t='benchmark')})) select phrase, count(*) as docs from ({_NG3.format(key='doc_id', t='documents')}) join l using (phrase) group by phrase")
 def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by phrases of a lexicon that is a table: the first three words of each benchmark item."""
-    phrases = read(spark, d, "benchmark").select(F.array_join(F.slice(text.words(F.lower("text")), 1, 3), " ").alias("phrase")).distinct()
-    docs = read(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
-    return docs.join(phrases, F.contains("t", F.col("phrase"))).select("doc_id", "phrase")
+    """Documents that hold each phrase of a lexicon that is a table: every run of three words of every benchmark item."""
+
+    def phrases(name: str) -> DataFrame:
+        w = read(spark, d, name).select(text.words(F.lower("text")).alias("w"))
+        return w.select(F.explode(text.ngram_set(F.col("w"), 3)).alias("phrase"))
+
+    return phrases("documents").join(phrases("benchmark").distinct(), "phrase").groupBy("phrase").agg(F.count("*").alias("docs"))
 
 
 _SENT = "list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: s <> '')"
@@ -119,19 +127,43 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", F.size(s).alias("n_sentences"), F.try_element_at(s, F.lit(1)).alias("first_sentence"))
 
 
-@query("select conv_id, turn, case when len(w) <= 20 then text else regexp_replace(array_to_string(w[1:20], ' '), '[ ,;:-]+$', '') || '.' end as trimmed from (select *, regexp_extract_all(text, '\\S+') as w from conversations)")
-def trim_words(spark: SparkSession, d: str) -> DataFrame:
-    w = text.words(F.col("text"))
-    cut = F.concat(F.regexp_replace(F.array_join(F.slice(w, 1, 20), " "), "[ ,;:-]+$", ""), F.lit("."))
-    return read(spark, d, "conversations").select("conv_id", "turn", F.when(F.size(w) <= 20, F.col("text")).otherwise(cut).alias("trimmed"))
+_LONG = "select conv_id, turn, text || ' ' || text || ' ' || text as t, case role when 'user' then 'reengagement' when 'assistant' then 'cold' else 'warm' end as kind from conversations"
 
 
-@query(f"select task_id, subject, case when asks then body else body || ' {posts.DEFAULT_ASK}' end as body from (select task_id, case when starts_with(lower(subject), 'request:') then subject when length(subject) + 9 > 60 then 'Request: {posts.DEFAULT_SUBJECT}' else 'Request: ' || subject end as subject, body, regexp_matches(lower(body), '[?]|" + "|".join(posts.ASK_MARKS) + f"') as asks from ({TASKS})) ")
+@query(f"select conv_id, turn, case when len(w) <= n then t else regexp_replace(array_to_string(w[1:n], ' '), '[ ,;:-]+$', '') || '.' end as trimmed from (select *, regexp_extract_all(t, '\\S+') as w, case kind when 'reengagement' then 100 when 'warm' then 200 else 120 end as n from ({_LONG}))")
+def trim_words(spark: SparkSession, d: str) -> DataFrame:
+    """The word limit of each kind of outreach, here told by the role."""
+    kind = F.when(F.col("role") == "user", "reengagement").when(F.col("role") == "assistant", "cold").otherwise("warm")
+    return read(spark, d, "conversations").select("conv_id", "turn", posts.trim_words(F.concat_ws(" ", "text", "text", "text"), kind).alias("trimmed"))
+
+
+_NL = "' || chr(10) || '"
+_MESSY = {1: "'Subject: x" + _NL + "Body: ' || body || '" + _NL + "Best regards" + _NL + "Anna Would you call?'", 2: "'[Your Name] of the team" + _NL + "' || body || '" + _NL + "---" + _NL + "Would you note?'", 3: "body || ' Can we talk? Would you book a slot? It is short.'", 4: "body || ' ' || body || ' ' || body || ' ' || body", 5: "'Hello there.'"}
+_RAW = f"select *, case idx % 6 {' '.join(f'when {k} then {v}' for k, v in _MESSY.items())} else body end as raw, [replace(stage, '_', ' '), company] as wanted from ({TASKS})"
+_STRIP = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
+_MARKED = " or ".join(f"contains(lower(s), '{m}')" for m in posts.MARKERS)
+_ASKS = "regexp_matches(lower(s), '[?]|" + "|".join(posts.ASK_MARKS) + "')"
+_POST = f"""with r as ({_RAW}),
+l as (select *, list_filter(list_transform(string_split_regex(raw, '{chr(13)}{chr(10)}|{chr(13)}|{chr(10)}'), lambda s: {_STRIP.format("s")}), lambda s: s <> '' and not starts_with(lower(s), 'subject:')) as ls from r),
+b as (select *, list_transform(ls, lambda s: case when starts_with(lower(s), 'body:') then {_STRIP.format("s[6:]")} else s end) as lb from l),
+e as (select *, list_position(list_transform(lb, lambda s: regexp_matches(lower(s), '^(best regards|regards,|sincerely)') or starts_with(s, '---')), true) as stop from b),
+c as (select *, list_filter(case when stop > 0 then lb[1 : stop - 1] else lb end, lambda s: not ({_MARKED})) as lc from e),
+cl as (select *, trim(regexp_replace(case when len(lc) > 0 then array_to_string(lc, ' ') else raw end, '\\s+', ' ', 'g')) as clean from c),
+g as (select *, case when len(list_filter(wanted, lambda p: contains(lower(clean), lower(p)))) > 0 then clean else trim(clean || ' I noticed a ' || replace(stage, '_', ' ') || ' signal and ' || roles_today || ' open roles.') end as grounded from cl),
+s as (select *, list_filter(list_transform(string_split(regexp_replace(grounded, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP.format("s")}), lambda s: s <> '') as ss from g),
+a as (select *, list_position(list_transform(ss, lambda s: {_ASKS}), true) as asked from s),
+k as (select *, array_to_string(list_concat(list_filter(ss, lambda s, i: not {_ASKS} or i = asked), case when coalesce(asked, 0) > 0 then [] else ['{posts.DEFAULT_ASK}'] end), ' ') as one from a),
+w as (select *, regexp_extract_all(one, '\\S+') as ws, case outreach_type when 'reengagement' then 100 when 'warm' then 200 else 120 end as n from k)
+select task_id, case when starts_with(lower(subject), 'request:') then subject when length(subject) + 9 > 60 then 'Request: {posts.DEFAULT_SUBJECT}' else 'Request: ' || subject end as subject,
+    case when len(ws) <= n then array_to_string(ws, ' ') else regexp_replace(array_to_string(ws[1:n], ' '), '[ ,;:-]+$', '') || '.' end as body from w"""
+
+
+@query(_POST)
 def postprocess_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Every step of the clean-up over bodies with subject lines, sign-offs, notes, several asks, too many words, or no required phrase."""
     t = synth.flat_tasks(spark, N)
-    required = F.array(F.regexp_replace("stage", "_", " "), F.col("roles_today").cast("string"))
-    grounded = F.array_append(required, F.lit("e"))  # a phrase that every body holds
-    out = posts.postprocess(F.col("subject"), F.col("body"), F.col("outreach_type"), grounded, F.col("stage"), F.col("roles_today"), F.lit(""))
+    raw = F.expr(f"case idx % 6 {' '.join(f'when {k} then {v}' for k, v in _MESSY.items())} else body end")
+    out = posts.postprocess(F.col("subject"), raw, F.col("outreach_type"), F.array(F.regexp_replace("stage", "_", " "), F.col("company")), F.col("stage"), F.col("roles_today"), F.lit(""))
     return t.select("task_id", out.alias("o")).select("task_id", "o.subject", "o.body")
 
 
@@ -160,9 +192,10 @@ def ngram_contaminated_docs(spark: SparkSession, d: str) -> DataFrame:
     return _overlap(spark, d).agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("pairs"), F.max("shared").alias("max_shared"))
 
 
-@query(f"select doc_id, item_id, shared from ({_OV}) order by shared desc, doc_id, item_id limit 10")
+@query(f"select doc_id, item_id, shared from ({_OV}) order by doc_id, item_id limit 10")
 def max_overlap_sample(spark: SparkSession, d: str) -> DataFrame:
-    return _overlap(spark, d).orderBy(F.desc("shared"), "doc_id", "item_id").limit(10)
+    """The report's sample: the first ten pairs in order of both ids."""
+    return _overlap(spark, d).orderBy("doc_id", "item_id").limit(10)
 
 
 _TF = "select {key}, tok, count(*)::double as tf from (select {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from {t}) group by {key}, tok"
@@ -175,15 +208,12 @@ def tf_cosine_by_item(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("item_id").agg(F.max(F.round("cosine", 4)).alias("max_cosine"), F.count_if(F.col("cosine") >= 0.85).alias("flagged"))
 
 
-@query("select a.vec_id as held_id, b.vec_id as ref_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from embeddings a join embeddings b on a.vec_id % 5 = 0 and b.vec_id % 5 <> 0 where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.85")
+@query("select a.vec_id as held_id, b.vec_id as ref_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35")
 def embedding_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of vectors at cosine 0.85 or more, held_id being the smaller id.
-
-    The SQL compares every fifth vector with the others only; both agree where no further pair reaches the threshold.
-    """
+    """A search: each vector whose id is divisible by 50 against all vectors, in blocks; those at cosine 0.35 or more."""
     e = read(spark, d, "embeddings").select("vec_id", "embedding")
-    pairs = overlap.dense_pairs(e.withColumnRenamed("vec_id", "held_id"), e.withColumnRenamed("vec_id", "ref_id"), 0.85, "held_id", "ref_id")
-    return pairs.where("held_id < ref_id").withColumn("cosine", F.round("cosine", 4))
+    pairs = overlap.dense_pairs(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "held_id"), e.withColumnRenamed("vec_id", "ref_id"), 0.35, "held_id", "ref_id")
+    return pairs.where("held_id <> ref_id").withColumn("cosine", F.round("cosine", 4))
 
 
 _HE = "select item_id, ('0x' || substr(sha256(tok), 1, 8))::bigint as h from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from benchmark)"
@@ -530,13 +560,13 @@ def ablation_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(f"with t as ({TASKS}), u as (select task_id, idx as pos from t where idx <= 150 union all select case when idx % 50 = 0 then ' ' else task_id end, idx + 1000 from t where idx > 100), r as (select trim(task_id) as id, pos, row_number() over (partition by trim(task_id) order by pos) as r from u where trim(task_id) <> '') select id as task_id, pos, r - 1 as dropped from r where r = 1")
+@query(f"with t as ({TASKS}), u as (select task_id, idx as pos from t where idx <= 150 union all select case when idx % 50 = 0 then ' ' else task_id end, idx + 1000 from t where idx > 100), r as (select trim(task_id) as id, pos, row_number() over (partition by trim(task_id) order by pos) as r, count(*) over (partition by trim(task_id)) - 1 as dropped from u where trim(task_id) <> '') select id as task_id, pos, dropped from r where r = 1")
 def merge_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Two overlapping runs as one: the first row of each id stays, blank ids go."""
+    """Two overlapping runs as one: the first row of each id stays, with the number of those dropped for it; blank ids go."""
     t = synth.flat_tasks(spark, N).select("task_id", "idx")
     one = t.where("idx <= 150").select("task_id", F.col("idx").alias("pos"))
     two = t.where("idx > 100").select(F.when(F.col("idx") % 50 == 0, " ").otherwise(F.col("task_id")).alias("task_id"), (F.col("idx") + 1000).alias("pos"))
-    return selection.dedupe(one.unionByName(two), "task_id", "pos").select("task_id", "pos", F.lit(0).cast("bigint").alias("dropped"))
+    return selection.dedupe(one.unionByName(two), "task_id", "pos", dropped="dropped").select("task_id", "pos", "dropped")
 
 
 @query("select coalesce(source, 'all') as source, coalesce(lang, 'all') as lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by cube (source, lang)")

@@ -13,20 +13,23 @@ from quern.functions.text import whole_json
 def read_lines(spark: SparkSession, path: str, schema: StructType | str, missing_ok: bool = False, strict: bool = True) -> DataFrame:
     """JSON lines; blank lines are skipped, a malformed one fails the read, or is dropped if not strict.
 
-    missing_ok: a missing file is an empty table, and lines that aren't objects are dropped.
+    missing_ok: a missing file is an empty table, and lines that aren't objects are dropped; an empty object, or one of
+    other keys, is a row of nulls.
     """
     try:
-        df = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+        if not missing_ok:
+            return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+        lines = spark.read.text(path).where(F.trim("value") != "")
     except AnalysisException as e:
         if missing_ok and "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
-    if missing_ok:
-        nothing = F.lit(True)
-        for c in df.columns:
-            nothing = nothing & F.col(c).isNull()
-        df = df.where(~nothing)
-    return df
+    ddl = schema if isinstance(schema, str) else schema.toDDL()
+    v = whole_json(F.col("value"))
+    if strict:
+        v = F.when(v.isNull(), F.raise_error(F.concat(F.lit("malformed JSON line: "), F.col("value"))).cast("variant")).otherwise(v)
+    objects = lines.select(v.alias("v"), "value").where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    return objects.select(F.from_json("value", ddl).alias("t")).select("t.*")
 
 
 def read_document(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

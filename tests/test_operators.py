@@ -27,15 +27,15 @@ def test_overlap_and_cosine(spark):
     assert got == {(i, j) for i, u in vecs[:60] for j, v in vecs[:60] if cos(u, v) >= 0.8}
 
 
-def test_embedding_pairs_compare_every_vector(spark, tmp_path):
-    """Pairs within the multiples of five, within the others, and across."""
+def test_embedding_search_meets_every_vector(spark, tmp_path):
+    """Queries are the ids divisible by 50; they meet each other and all others, but not themselves."""
     from quern.plans import catalogue
 
     unit = lambda *k: [1.0 if i in k else 0.0 for i in range(8)]
-    rows = [(5, unit(0)), (10, unit(0)), (1, unit(1)), (2, unit(1)), (15, unit(2)), (3, unit(2)), (4, unit(3)), (20, unit(4))]
+    rows = [(50, unit(0)), (100, unit(0)), (1, unit(0)), (2, unit(1)), (3, unit(1)), (150, unit(2)), (200, unit(3)), (4, unit(3))]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = sorted(map(tuple, catalogue.embedding_cosine_pairs(spark, str(tmp_path)).collect()))
-    assert got == [(1, 2, 1.0), (3, 15, 1.0), (5, 10, 1.0)]
+    assert got == [(50, 1, 1.0), (50, 100, 1.0), (100, 1, 1.0), (100, 50, 1.0), (200, 4, 1.0)]
 
 
 def test_provenance_edges(spark):
@@ -176,3 +176,22 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
     key = lambda df: {(r["start"], r["event_type"], r["n"]) for r in df.collect()}
     done, all_ = key(spark.read.parquet(str(tmp_path / "out"))), key(logs.rollup(events))
     assert done <= all_ and len(done) > 0.5 * len(all_)
+
+
+def test_lenient_lines_keep_every_object(spark, tmp_path):
+    from quern.sources import records
+
+    (tmp_path / "edge.jsonl").write_text('{"task_id": "a", "n": 1}\n\n{}\n{"other": 3}\n[3]\n5\n"x"\nnull\n')
+    got = records.read_lines(spark, str(tmp_path / "edge.jsonl"), "task_id string, n int", missing_ok=True).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 1), (None, None), (None, None)], key=str)
+    (tmp_path / "bad.jsonl").write_text('{"task_id": "a"}\n{"task_id"\n')
+    with pytest.raises(Exception, match="malformed JSON line"):
+        records.read_lines(spark, str(tmp_path / "bad.jsonl"), "task_id string", missing_ok=True).collect()
+    assert records.read_lines(spark, str(tmp_path / "bad.jsonl"), "task_id string", missing_ok=True, strict=False).count() == 1
+
+
+def test_dedupe_counts_what_it_drops(spark):
+    from quern.operators import selection
+
+    df = spark.createDataFrame([("a", 1), (" a", 2), ("b", 3), ("", 4), (None, 5), ("a ", 6)], "k string, pos int")
+    assert sorted((r["k"].strip(), r["pos"], r["gone"]) for r in selection.dedupe(df, "k", "pos", dropped="gone").collect()) == [("a", 1, 2), ("b", 3, 0)]
