@@ -137,3 +137,12 @@ def report(tasks: DataFrame, split: str, key: str, body: str, vectors, n: int =
     splits = of.select("ref_split").where("ref_split <> 'held_out'").distinct()
     out = splits.join(grams, "ref_split", "left").join(cos, "ref_split", "left").na.fill(0)
     return out.select("ref_split", "max_shared", "ngram_pairs", F.round("max_cosine", 6).alias("max_cosine"), "cosine_pairs", ((F.col("max_shared") < 1) & (F.col("max_cosine") < threshold)).alias("pass"))
+
+
+def summary(reports: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row of all of ``report``'s rows: greatest values, numbers of pairs, number of provenance flags; passed if every split passes
+    and there is no flag."""
+    flags = issues.agg(F.count("*").alias("flags"))
+    whole = reports.agg(F.max("max_shared").alias("max_shared"), F.sum("ngram_pairs").alias("ngram_pairs"), F.max("max_cosine").alias("max_cosine"), F.sum("cosine_pairs").alias("cosine_pairs"), F.bool_and("pass").alias("splits_pass"))
+    both = whole.unionByName(flags, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("max_shared", "ngram_pairs", "max_cosine", "cosine_pairs", "flags", "splits_pass")))
+    return both.select("max_shared", "ngram_pairs", "max_cosine", "cosine_pairs", "flags", (F.coalesce("splits_pass", F.lit(True)) & (F.col("flags") == 0)).alias("passed"))

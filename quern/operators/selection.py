@@ -34,8 +34,9 @@ def pair_winner(id_a: Column, body_a: Column, id_b: Column, body_b: Column, name
 
 def pick_winner(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     """(id_a, id_b, winner): of the decisions whose winner is in the pair the first; a where there is none."""
-    d = decisions.select("pos", "winner")
-    found = pairs.join(d, (F.col("winner") == F.col("id_a")) | (F.col("winner") == F.col("id_b")), "left").groupBy("id_a", "id_b").agg(F.min_by("winner", "pos").alias("winner"))
+    first = decisions.groupBy("winner").agg(F.min("pos").alias("pos"))
+    ends = pairs.select("id_a", "id_b", F.explode(F.array("id_a", "id_b")).alias("winner"))
+    found = ends.join(first, "winner", "left").groupBy("id_a", "id_b").agg(F.min_by("winner", "pos").alias("winner"))
     return found.withColumn("winner", F.coalesce("winner", "id_a"))
 
 
@@ -77,6 +78,27 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def require_filled(df: DataFrame, *names: str) -> DataFrame:
+    """df; ValueError if one of the columns is missing or holds a null."""
+    nulls = require_columns(df, *names).agg(*(F.count_if(F.col(n).isNull()).alias(n) for n in names)).first().asDict()
+    if any(nulls.values()):
+        raise ValueError(f"nulls in {', '.join(f'{n} ({k})' for n, k in nulls.items() if k)}")
+    return df
+
+
+def require_other_family(generators: list[str], judge_model: str) -> None:
+    """ValueError if a generator is of the judge's family."""
+    of = lambda m: m.split("/")[0].lower()
+    same = [g for g in generators if of(g) == of(judge_model)]
+    if same:
+        raise ValueError(f"of the family of judge {judge_model}: {', '.join(same)}")
+
+
+def head(df: DataFrame, pos: str, n: int) -> DataFrame:
+    """The first n rows in order of pos: the limit that a caller sets, before or after the work."""
+    return df.orderBy(pos).limit(n)
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, by sha256 of seed and key."""
     return df.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)

@@ -56,6 +56,18 @@ def ratio(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return df.withColumn(name, F.round(safe_ratio(F.col(a), F.col(b)), 6))
 
 
+def mean_differences(df: DataFrame, variant: str, a: str, b: str, values: list[str]) -> DataFrame:
+    """One row: mean of variant a minus mean of variant b of each value (score, cost, latency), null where a variant has none."""
+    mean = lambda v, of: F.avg(F.when(F.col(variant) == of, F.col(v)))
+    return df.where(F.col(variant).isin(a, b)).agg(*(F.round(mean(v, a) - mean(v, b), 6).alias(f"{v}_delta") for v in values))
+
+
+def external_delta(df: DataFrame, by: str, value: str, external: float) -> DataFrame:
+    """(by, mean, external, delta, informational): each group's mean against a constant from elsewhere, for information only."""
+    m = df.groupBy(by).agg(F.avg(value).alias("m"))
+    return m.select(by, F.round("m", 6).alias("mean"), F.lit(float(external)).alias("external"), F.round(F.col("m") - external, 6).alias("delta"), F.lit(True).alias("informational"))
+
+
 def scale_counts(base: DataFrame, total: int) -> DataFrame:
     """base (pos, key, n) with ``scaled``: shares of total, halves to even; what is over or short goes to the first key."""
     from pyspark.sql import Window

@@ -585,3 +585,6 @@ def synthesis_round(spark: SparkSession, d: str) -> DataFrame:
     w = a.join(b, "idx").withColumn("winner", selection.pair_winner(F.col("task_id"), F.col("body"), F.col("id_b"), F.col("body_b")))
     w = w.where(F.when(F.col("winner") == F.col("task_id"), F.col("decision")).otherwise(F.col("decision_b")) == "accept")
     return selection.accept_quota(w.select(F.col("winner").alias("task_id"), "source_mode", "idx"), "source_mode", "idx", F.lit(10)).select("task_id", "source_mode")
+
+
+from quern.plans import procedures  # noqa: E402, F401  its queries join those above

@@ -6,7 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quern.functions.text import whole_json
+from quern.operators.selection import call_cost
 
 Client = Callable[[list[str]], list[str]]
 
@@ -44,3 +48,19 @@ def embed(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], list
             yield pd.DataFrame({key: p[key].to_numpy(), "embedding": [list(map(float, v)) for v in encode(p[text].fillna("").tolist())]})
 
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, embedding array<double>")
+
+
+def usage(raw: Column) -> Column:
+    """Struct (prompt_tokens, completion_tokens, cost) of a chat answer's JSON: tokens it doesn't give count 0, an unknown cost is null."""
+    v = whole_json(raw)
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    tokens = lambda k: F.coalesce(get(f"$.usage.{k}", "bigint"), F.lit(0).cast("bigint")).alias(k)
+    cost = call_cost(get("$.usage.cost", "double"), get("$.usage.total_cost", "double"), get("$.cost", "double"))
+    return F.struct(tokens("prompt_tokens"), tokens("completion_tokens"), cost.alias("cost"))
+
+
+def embed_or_hash(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[list[float]]] | None = None) -> tuple[DataFrame, str]:
+    """Vectors by the encoder, or by feature hashing where there is none, and which of the two it was: "model" or "hash"."""
+    from quern.operators.overlap import hash_vectors
+
+    return (embed(df, key, text, encode), "model") if encode else (hash_vectors(df, key, text), "hash")

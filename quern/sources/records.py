@@ -109,3 +109,25 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256) of every file under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_named(spark: SparkSession, files: dict[str, str], schema: StructType | str) -> DataFrame:
+    """JSON lines of each named split's path, with column split; a missing file fails the read."""
+    out = None
+    for s, path in files.items():
+        df = read_lines(spark, path, schema).withColumn("split", F.lit(s))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def from_rows(spark: SparkSession, rows: list[dict], schema: StructType | str, columns: list[str] | None = None) -> DataFrame:
+    """A small table held by the driver, cut to ``columns``; fields that a row lacks are null."""
+    df = spark.createDataFrame(rows, schema)
+    return df.select(*columns) if columns else df
+
+
+def training_log(lines: DataFrame) -> DataFrame:
+    """(step, loss) of the lines of a training log (column value, JSON) that have both; all other lines are passed over."""
+    v = whole_json(F.col("value"))
+    got = lines.select(F.try_variant_get(v, "$.step", "bigint").alias("step"), F.try_variant_get(v, "$.loss", "double").alias("loss"))
+    return got.where("step is not null and loss is not null")
