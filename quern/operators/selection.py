@@ -108,10 +108,14 @@ def chunks(df: DataFrame, pos: str, size: int) -> DataFrame:
     return df.withColumn("batch", F.floor(F.col(pos) / size))
 
 
-def ordinal_ids(df: DataFrame, mode: str, pos: str) -> DataFrame:
-    """df with task_id: the mode's first three letters and a five-digit number within it."""
-    n = F.row_number().over(Window.partitionBy(mode).orderBy(pos))
-    return df.withColumn("task_id", F.format_string("%s-%05d", F.upper(F.substring(mode, 1, 3)), n))
+def ordinal_ids(df: DataFrame, mode: str, pos: str, lpad: bool = False) -> DataFrame:
+    """df with task_id: the mode's first three letters and its number within the mode, of five digits at least; null for a null mode.
+
+    ``lpad`` takes five digits at most, as that function does in SQL: from the 100,000th row of a mode on, ids repeat.
+    """
+    n = F.row_number().over(Window.partitionBy(mode).orderBy(F.asc_nulls_last(pos)))
+    digits = F.lpad(n.cast("string"), 5, "0") if lpad else F.format_string("%05d", n)
+    return df.withColumn("task_id", F.concat(F.upper(F.substring(mode, 1, 3)), F.lit("-"), digits))
 
 
 def failure_streaks(df: DataFrame, by: list[str], pos: str, success: Column) -> DataFrame:

@@ -195,3 +195,28 @@ def test_dedupe_counts_what_it_drops(spark):
 
     df = spark.createDataFrame([("a", 1), (" a", 2), ("b", 3), ("", 4), (None, 5), ("a ", 6)], "k string, pos int")
     assert sorted((r["k"].strip(), r["pos"], r["gone"]) for r in selection.dedupe(df, "k", "pos", dropped="gone").collect()) == [("a", 1, 2), ("b", 3, 0)]
+
+
+def _against_sql(spark, folder, name):
+    """Rows of a catalogue query over the folder's events, and those of its SQL on one thread."""
+    import duckdb
+    from quern.plans import catalogue
+
+    db = duckdb.connect()
+    db.sql("set threads = 1")
+    db.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, str(folder))
+    want = db.sql(f"select {', '.join(got.columns)} from ({catalogue.ORACLE_SQL[name]})").fetchall()
+    return sorted(map(tuple, got.collect()), key=str), sorted(want, key=str)
+
+
+def test_numbers_over_five_digits_as_in_sql(spark, tmp_path):
+    """Over 99,999 rows of a type, and rows without type or id: the query follows its SQL, the operator by itself numbers on."""
+    many = spark.range(100_002).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"))
+    odd = spark.createDataFrame([(None, "click"), (7, "click"), (-3, "click"), (8, None), (9, "")], "event_id bigint, event_type string")
+    many.unionByName(odd).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got, want = _against_sql(spark, tmp_path, "chunk_and_number")
+    assert got == want
+    whole = selection.ordinal_ids(many, "event_type", "event_id")
+    assert whole.select("task_id").distinct().count() == 100_002
+    assert whole.where("event_id = 100001").first()["task_id"] == "VIE-100002"
